@@ -53,6 +53,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def settled(column: Column) -> Column:
+    """The column, computed once: as the optimizer holds it for random, it doesn't copy it into filters and later columns."""
+    return F.when(F.monotonically_increasing_id() >= 0, column)
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a row belongs to the fold that no model may learn from."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
