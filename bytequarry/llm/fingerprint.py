@@ -97,10 +97,8 @@ def fingerprint(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     return common.map_blocks(df, "fingerprint string", lambda texts: {"fingerprint": pack(*fingerprints(texts))}, doc_id, text)
 
 
-def in_parts(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The rows by part of the ids, descending in each, and after each part's rows a copy of the row that follows them
-    (`tail`). The parts' limits are quantiles of the ids; no task holds more than a few parts."""
-    spark = df.sparkSession
+def parted(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, text (null as empty), ord (the id, a null one below all) and part: ranges of ord, ascending, cut at its quantiles."""
     base = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("ord"))
     ids = base.select("ord")
     n = min(MOST_PARTS, max(LEAST_PARTS, ids.count() // PART_ROWS))
@@ -113,13 +111,20 @@ def in_parts(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
         return pd.Series(np.searchsorted(limits, x.to_numpy(), side="right").astype(np.int32))
 
-    ends = sorted(tuple(r) for r in ids.withColumn("part", part_of("ord")).groupBy("part").agg(F.max("ord")).collect())  # at most MOST_PARTS rows
+    return base.withColumn("part", part_of("ord"))
+
+
+def in_parts(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows by part of the ids, descending in each, and after each part's rows a copy of the row that follows them
+    (`tail`). No task holds more than a few parts."""
+    spark = df.sparkSession
+    rows = parted(df, doc_id, text)
+    ends = sorted(tuple(r) for r in rows.groupBy("part").agg(F.max("ord")).collect())  # at most MOST_PARTS rows
     follow = [(part, ends[k - 1][1]) for k, (part, _) in enumerate(ends)]
-    heads = spark.createDataFrame([(hi,) for _, hi in ends], "ord long")
-    texts = base.join(F.broadcast(heads), "ord").groupBy("ord").agg(F.max("text").alias("text"))
+    heads = F.broadcast(spark.createDataFrame([(hi,) for _, hi in ends], "ord long"))
+    texts = rows.select("ord", "text").join(heads, "ord").groupBy("ord").agg(F.max("text").alias("text"))
     tails = texts.join(F.broadcast(spark.createDataFrame(follow, "part int, ord long")), "ord").select(F.lit(None).cast("long").alias("doc_id"), "text", "ord", "part", F.lit(True).alias("tail"))
-    rows = base.withColumn("part", part_of("ord")).withColumn("tail", F.lit(False))
-    return rows.unionByName(tails).repartition("part").sortWithinPartitions("part", "tail", F.desc("ord"), F.desc("text"))
+    return rows.withColumn("tail", F.lit(False)).unionByName(tails).repartition("part").sortWithinPartitions("part", "tail", F.desc("ord"), F.desc("text"))
 
 
 def edit_digests(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
