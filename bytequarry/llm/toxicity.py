@@ -12,6 +12,9 @@ both classes the score is the share of the class there is (0.5 without any); rep
 from __future__ import annotations
 
 import math
+import zlib
+from array import array
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,7 +23,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Bytes of an n-gram (an ASCII character is one byte), and hashed columns.
 SIZES = (3, 4, 5)
+COLUMNS = 1 << 19
 EDGE = ".,;:!?\"'()[]{}<>#$%&*+-/=@^_|~`"
 MOST_WORDS = 400_000
 
@@ -29,14 +34,15 @@ def words_of(text: str) -> set[str]:
     return set(text.lower().split())
 
 
-def grams(word: str) -> list[str]:
-    word = f"<{word.strip(EDGE)}>"
-    return [word[i : i + n] for n in SIZES for i in range(len(word) - n + 1)]
+def columns_of(word: str) -> set[int]:
+    """The hashed columns of a word's n-grams."""
+    raw = f"<{word.strip(EDGE)}>".encode(errors="surrogatepass")
+    return {zlib.crc32(raw[i : i + n]) & (COLUMNS - 1) for n in SIZES for i in range(len(raw) - n + 1)}
 
 
 @dataclass
 class ToxicityModel:
-    weights: dict[str, float]
+    weights: np.ndarray | None
     intercept: float
     known: dict[str, float] = field(default_factory=dict)
 
@@ -44,8 +50,7 @@ class ToxicityModel:
         return {"weights": self.weights, "intercept": self.intercept, "known": {}}
 
     def word_score(self, word: str) -> float:
-        get = self.weights.get
-        return sum(get(g, 0.0) for g in set(grams(word)))
+        return float(self.weights[list(columns_of(word))].sum()) if self.weights is not None else 0.0
 
     def logits(self, texts: list[str]) -> list[float]:
         out = []
@@ -99,35 +104,36 @@ def lbfgs(value_and_gradient, x: np.ndarray, rounds: int = 60, memory: int = 8)
     return x
 
 
-def fit(rows: list[tuple[list[str], int]], counts: dict[int, int], least_words: int = 3, smoothing: float = 1.0, penalty: float = 1.0, most_grams: int = 150_000) -> ToxicityModel:
+def fit(rows: Iterable[tuple[list[str], int]], counts: dict[int, int], least_words: int = 3, smoothing: float = 1.0, penalty: float = 1.0) -> ToxicityModel:
     """rows: the distinct words and the label of each document; counts: labelled rows of each class, for the prior."""
-    labels = np.array([y for _, y in rows], float)
-    if not len(rows) or labels.min() == labels.max():
-        share = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
-        return ToxicityModel({}, math.log(share / (1 - share)))
     number: dict[str, int] = {}
-    doc, word = [], []
-    for d, (words, _) in enumerate(rows):
+    seen_words, sizes, labels = array("i"), [], []
+    for words, label in rows:
         got = [number.setdefault(w, len(number)) for w in sorted(words)]
-        word.append(np.array(got, np.int64))
-        doc.append(np.full(len(got), d))
-    doc, word = np.concatenate(doc), np.concatenate(word)
+        seen_words.extend(got)
+        sizes.append(len(got))
+        labels.append(label)
+    labels = np.array(labels, float)
+    if not len(labels) or labels.min() == labels.max():
+        share = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
+        return ToxicityModel(None, math.log(share / (1 - share)))
+    word = np.frombuffer(seen_words, np.int32) if len(seen_words) else np.empty(0, np.int32)
+    doc = np.repeat(np.arange(len(labels), dtype=np.int32), sizes)
     spread = np.bincount(word, minlength=len(number))
-    gram: dict[str, int] = {}
-    owner, column = [], []
-    for w, k in number.items():
-        mine = {gram.setdefault(g, len(gram)) for g in grams(w)}
-        column.append(np.fromiter(mine, np.int32, len(mine)))
-        owner.append(np.full(len(mine), k, np.int32))
-    owner, column = np.concatenate(owner), np.concatenate(column)
-    total = np.bincount(column, weights=spread[owner], minlength=len(gram))
-    kept = np.argsort(-total, kind="stable")[:most_grams]
-    kept = kept[total[kept] >= least_words]
-    place = np.full(len(gram), -1, np.int64)
+    hashed, widths = array("i"), []
+    for w in number:
+        mine = columns_of(w)
+        hashed.extend(mine)
+        widths.append(len(mine))
+    column = np.frombuffer(hashed, np.int32) if len(hashed) else np.empty(0, np.int32)
+    owner = np.repeat(np.arange(len(number), dtype=np.int32), widths)
+    total = np.bincount(column, weights=spread[owner], minlength=COLUMNS)
+    kept = np.flatnonzero(total >= least_words)
+    place = np.full(COLUMNS, -1, np.int32)
     place[kept] = np.arange(len(kept))
     ok = place[column] >= 0
     owner, column = owner[ok], place[column[ok]]
-    n_docs, n_words, n_grams = len(rows), len(number), len(kept)
+    n_docs, n_words, n_grams = len(labels), len(number), len(kept)
     toxic = np.bincount(word, weights=labels[doc], minlength=n_words)
     p = np.bincount(column, weights=toxic[owner], minlength=n_grams) + smoothing
     q = np.bincount(column, weights=(spread - toxic)[owner], minlength=n_grams) + smoothing
@@ -150,21 +156,21 @@ def fit(rows: list[tuple[list[str], int]], counts: dict[int, int], least_words:
     x = lbfgs(objective, np.zeros(n_grams + 1))
     seen = {k: float((labels == k).sum()) for k in (0, 1)}
     shift = math.log((counts[1] / counts[0]) / (seen[1] / seen[0])) if counts.get(0) and counts.get(1) else 0.0
-    names = list(gram)
-    final = x[:-1] * ratio
-    return ToxicityModel({names[k]: float(v) for k, v in zip(kept.tolist(), final, strict=True) if abs(v) > 1e-4}, float(x[-1]) + shift)
+    weights = np.zeros(COLUMNS, np.float32)
+    weights[kept] = x[:-1] * ratio
+    return ToxicityModel(weights, float(x[-1]) + shift)
 
 
-def train(spark: SparkSession, sf_dir: str, most: int = 4_000) -> ToxicityModel:
+def train(spark: SparkSession, sf_dir: str, most: int = 3_000) -> ToxicityModel:
     """Fit on at most `most` labelled documents outside the held-out fold; their distinct words are gathered, not their texts."""
     sample, counts = common.labelled_sample(spark, sf_dir, "toxic", most)
-    rows = sample.select("label", F.array_distinct(F.split(F.lower("text"), r"\s+")).alias("words")).collect()
-    return fit([([w for w in r["words"] if w], r["label"]) for r in rows], counts)
+    rows = common.materialize(sample.select("label", F.array_distinct(F.split(F.lower("text"), r"\s+")).alias("words")), "words").toLocalIterator()
+    return fit((([w for w in r["words"] if w], r["label"]) for r in rows), counts)
 
 
 def score(df: DataFrame, model: ToxicityModel, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # at most 150,000 n-grams: see fit()
+    shared = df.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
 
     def work(texts: list[str]) -> dict[str, object]:
         return {"score": shared.value.scores(texts)}
