@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from . import common
 
 #: Words remembered by a worker; beyond that the oldest half goes.
-MOST_WORDS = 600_000
+MOST_WORDS = 300_000
 
 
 #: Marks that are neither letters, digits, white space nor an apostrophe: at a chunk's end they are one pre-token.
@@ -212,9 +212,14 @@ class WordBPE:
         return " ".join(self.name[i] for i in ids if i in self.name)
 
 
-@lru_cache(2)
+_encoders: dict[str, WordBPE] = {}
+
+
 def encoder(path: str) -> WordBPE:
-    return WordBPE(path)
+    common.hold("bpe", _encoders.clear)
+    if path not in _encoders:
+        _encoders[path] = WordBPE(path)
+    return _encoders[path]
 
 
 def default_path() -> str:

@@ -9,13 +9,36 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Labelled documents that a classifier learns from, at most; a documented bound, the same at every size.
 MOST_LABELLED = 6_000
 #: Text is handled in blocks of about so many characters, which bounds the memory of a Python worker.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
+
+#: A worker serves one operator after another; the memory of the last one, by its name.
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold(owner: str, clear: Callable[[], None]) -> None:
+    """Called where an operator starts to fill a lookup table of the worker: those of other operators are emptied."""
+    if owner not in _held:
+        for other in [*_held]:
+            _held.pop(other)()
+        _held[owner] = clear
+
+
+@contextlib.contextmanager
+def steady() -> Iterator[None]:
+    """No garbage collection within: lookup tables hold no cycles, and walking them again and again costs more than the work."""
+    gc.collect()
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,20 +87,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = BLOCK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the incoming batches with at most about `chars` characters each, a null text read as empty.
+    """Slices of the incoming batches with at most about `chars` bytes each, a null text read as empty.
 
     A single longer text makes a slice of its own.
     """
     for batch in batches:
-        texts = [x or "" for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+        column = batch.column(batch.schema.get_field_index(text))
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
         start = size = 0
-        for k, x in enumerate(texts):
-            if size and size + len(x) > chars:
-                yield batch.slice(start, k - start), texts[start:k]
+        for k, n in enumerate([*sizes, None]):
+            if n is None or size and size + n > chars:
+                if k > start:
+                    yield batch.slice(start, k - start), [x or "" for x in column.slice(start, k - start).to_pylist()]
                 start, size = k, 0
-            size += len(x)
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+            size += n or 0
 
 
 def map_blocks(df: DataFrame, schema: str, work: Callable[[list[str]], dict[str, object]], keep: str = "doc_id", text: str = "text", kept_type: str = "long") -> DataFrame:
@@ -87,10 +110,10 @@ def map_blocks(df: DataFrame, schema: str, work: Callable[[list[str]], dict[str,
     names = [f.name for f in StructType.fromDDL(schema).fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # the workers' caches hold no cycles, and walking them again and again costs more than the work
-        for batch, texts in blocks(batches, text):
-            got = work(texts)
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(keep)), *(x if isinstance(x := got[n], pa.Array) else pa.array(x) for n in names)], names=[keep, *names])
+        with steady():
+            for batch, texts in blocks(batches, text):
+                got = work(texts)
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(keep)), *(x if isinstance(x := got[n], pa.Array) else pa.array(x) for n in names)], names=[keep, *names])
 
     return df.select(keep, text).mapInArrow(run, f"`{keep}` {kept_type}, {schema}")
 

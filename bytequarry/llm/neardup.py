@@ -31,7 +31,7 @@ MOST_BROADCAST = 1_000_000
 #: Members of a centre compared in one task.
 GROUP_ROWS = 256
 #: Words whose hashes a worker remembers.
-MOST_WORDS = 400_000
+MOST_WORDS = 200_000
 
 _known: dict[str, int] = {}
 _LOWER = str.maketrans({chr(a): chr(a + 32) for a in range(65, 91)})
@@ -60,6 +60,7 @@ def shingles(text: str, size: int) -> np.ndarray:
     found = words(text)
     if not found:
         return np.empty(0, np.uint64)
+    common.hold("neardup", _known.clear)
     get = _known.get
     codes = [get(w) for w in found]
     if None in codes:
@@ -125,7 +126,7 @@ def compared(pairs: DataFrame, df: DataFrame, size: int, doc_id: str, text: str)
     rows = docs.join(F.broadcast(wanted) if n <= MOST_BROADCAST else wanted, "doc_id").repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
 
     def run(batches):
-        group, mine = None, np.empty(0, np.uint64)
+        group, mine = None, np.empty(0, np.uint64)  # the centre's rows come first
         for batch, texts in common.blocks(batches):
             out = []
             for b, a, salt, role, x in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "a", "salt", "role")), texts, strict=True):

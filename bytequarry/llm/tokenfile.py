@@ -22,7 +22,6 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +37,7 @@ BITS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20)
 TOO_LARGE = (1 << 20) - 1
 NO_ID = -(2**63)
 BLOCK_IDS = 262_144
-MOST_WORDS = 700_000
+MOST_WORDS = 400_000
 #: Chunks that are encoded by themselves: no white space but one line feed in front.
 PLAIN = re.compile(r"\n?\S+").fullmatch
 
@@ -171,9 +170,14 @@ class ByteBPE:
         return out
 
 
-@lru_cache(2)
+_encoders: dict[str, ByteBPE] = {}
+
+
 def byte_encoder(path: str) -> ByteBPE:
-    return ByteBPE(path)
+    common.hold("tokenfile", _encoders.clear)
+    if path not in _encoders:
+        _encoders[path] = ByteBPE(path)
+    return _encoders[path]
 
 
 def default_path() -> str:

@@ -27,7 +27,7 @@ from . import common
 SIZES = (3, 4, 5)
 COLUMNS = 1 << 19
 EDGE = ".,;:!?\"'()[]{}<>#$%&*+-/=@^_|~`"
-MOST_WORDS = 400_000
+MOST_WORDS = 200_000
 
 
 def words_of(text: str) -> set[str]:
@@ -53,11 +53,12 @@ class ToxicityModel:
         return float(self.weights[list(columns_of(word))].sum()) if self.weights is not None else 0.0
 
     def logits(self, texts: list[str]) -> list[float]:
+        common.hold("toxicity", self.known.clear)
         out = []
         for x in texts:
             known = self.known
             if len(known) > MOST_WORDS:
-                known = self.known = {}
+                known.clear()
             total = self.intercept
             for w in words_of(x):
                 s = known.get(w)
@@ -182,14 +183,13 @@ def score(df: DataFrame, model: ToxicityModel, threshold: float = 0.5, doc_id: s
 def keep_clean(df: DataFrame, model: ToxicityModel, threshold: float = 0.5, text: str = "text") -> DataFrame:
     """The rows of df whose text scores below the threshold, all their columns as they were."""
     import pyarrow as pa
-    import pyarrow.compute as pc
 
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch, texts in common.blocks(batches, text):
-            clean = pa.array([s < threshold for s in shared.value.scores(texts)], pa.bool_())
-            yield batch.filter(pc.fill_null(clean, False))
+        with common.steady():
+            for batch, texts in common.blocks(batches, text):
+                yield batch.filter(pa.array([s < threshold for s in shared.value.scores(texts)], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 
