@@ -4,8 +4,10 @@ A document's set holds its distinct shingles. Under each of 2 * BANDS permutatio
 so the signature has twice as many values as hash evaluations; four values, of two permutations, make a band. Documents
 with equal sets are one class from the start. In each bucket, every class is compared with the bucket's smallest id on
 the full sets, which joins most of a group of copies without pairs among its members. Jaccard distance is a metric: with the
-distances to the bucket's centre known, most remaining pairs of a bucket can't be links; those that can, and whose members
-aren't connected yet, are compared as well. A pair at the threshold shares no band with probability below 1e-6.
+distances to the bucket's centre known, many remaining pairs of a bucket can't be links. More fall by a bound on what two
+sets can share: of the centre's shingles those that neither lacks, and of the others those that a further member has too.
+What is left, and isn't connected yet, is compared as well. A pair at the threshold shares no band with probability below
+1e-6.
 
 Defined cases: a document with fewer words than a shingle has its whole sequence as the only shingle; one without words (null
 and empty texts too) is linked with nothing; a row without id is linked with nothing and stays; repeated rows share their
@@ -32,6 +34,10 @@ MOST_BROADCAST = 1_000_000
 GROUP_ROWS = 256
 #: Words whose hashes a worker remembers.
 MOST_WORDS = 200_000
+#: Cells, by hash, in which what a set lacks of its centre is noted.
+CELLS = 256
+#: From so many members on, a bucket's centre is compared with those of another size too, for the bound.
+MANY = 16
 
 _known: dict[str, int] = {}
 _LOWER = str.maketrans({chr(a): chr(a + 32) for a in range(65, 91)})
@@ -113,8 +119,22 @@ def signatures(df: DataFrame, size: int, doc_id: str = "doc_id", text: str = "te
     return common.map_blocks(df, "n_shingles long, set_a long, set_b long, bands array<long>", work, doc_id, text)
 
 
+def against(centre: np.ndarray, found: np.ndarray) -> tuple[int, list[int], np.ndarray]:
+    """Of two sorted sets: the size of the intersection, which of CELLS cells hold a shingle that only the centre has (as
+    bits of longs), and the shingles that only the other has (32 bits of each)."""
+    if not len(centre):
+        return 0, [0] * (CELLS // 64), found.astype(np.uint32).view(np.int32)
+    place = np.minimum(np.searchsorted(centre, found), len(centre) - 1)
+    hit = centre[place] == found
+    lacking = np.ones(len(centre), bool)
+    lacking[place[hit]] = False
+    cells = np.zeros(CELLS, np.uint8)
+    cells[(centre[lacking] % np.uint64(CELLS)).astype(np.int64)] = 1
+    return int(hit.sum()), np.packbits(cells).view("<i8").tolist(), found[~hit].astype(np.uint32).view(np.int32)
+
+
 def compared(pairs: DataFrame, df: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
-    """pairs (a, b) with the sizes of intersection and union of the full sets: a, b, both, either.
+    """pairs (a, b) with the sizes of intersection and union of the full sets, and what differs: a, b, both, either, gone, more.
 
     The texts of a's partners meet the text of a in groups of at most about GROUP_ROWS, so no a makes a large task.
     """
@@ -134,11 +154,22 @@ def compared(pairs: DataFrame, df: DataFrame, size: int, doc_id: str, text: str)
                 if role == 0:
                     group, mine = (a, salt), found
                 elif group == (a, salt):
-                    both = len(np.intersect1d(mine, found, assume_unique=True))
-                    out.append((a, b, both, len(mine) + len(found) - both))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], names=["a", "b", "both", "either"])
+                    both, gone, more = against(mine, found)
+                    out.append((a, b, both, len(mine) + len(found) - both, gone, more))
+            kinds = [*[pa.int64()] * 4, pa.list_(pa.int64()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["a", "b", "both", "either", "gone", "more"])
+
+    return rows.select("doc_id", "a", "salt", "role", "text").mapInArrow(run, "a long, b long, both long, either long, gone array<long>, more array<int>")
 
-    return rows.select("doc_id", "a", "salt", "role", "text").mapInArrow(run, "a long, b long, both long, either long")
+
+def shareable(members: DataFrame, first: DataFrame) -> DataFrame:
+    """centre, id, base (the centre's shingles that it has), extra (its others that a further member of the centre has, at
+    least that many) and gone, of the members (centre, id) that were compared with their centre."""
+    own = members.join(first.withColumnsRenamed({"a": "centre", "b": "id"}), ["centre", "id"]).select("centre", "id", "both", "gone", "more")
+    others = own.select("centre", "id", F.explode("more").alias("token"))
+    twice = others.groupBy("centre", "token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("centre", "token")
+    extra = others.join(twice, ["centre", "token"]).groupBy("centre", "id").agg(F.count(F.lit(1)).alias("extra"))
+    return own.drop("more").join(extra, ["centre", "id"], "left").select("centre", "id", F.col("both").alias("base"), F.coalesce("extra", F.lit(0)).alias("extra"), "gone")
 
 
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
@@ -165,13 +196,13 @@ def groups(df: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_i
     classes = common.materialize(full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min_by("bands", "doc_id").alias("bands"), F.min("n_shingles").alias("n")), "classes")
     slots = common.settled(F.col("bands"))
     keys = classes.select("id", "n", slots.alias("bands")).select("id", "n", F.explode("bands").alias("key"))
-    centres = keys.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("m"), F.min_by("n", "id").alias("centre_n")).where("m > 1").select("key", "centre", "centre_n")
+    centres = keys.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("m"), F.min_by("n", "id").alias("centre_n")).where("m > 1").select("key", "centre", "centre_n", (F.col("m") >= MANY).alias("many"))
     buckets = common.materialize(keys.join(centres, "key"), "buckets")
 
     def near_in_size(x: str, y: str):
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
-    stars = buckets.where((F.col("id") != F.col("centre")) & near_in_size("n", "centre_n")).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    stars = buckets.where((F.col("id") != F.col("centre")) & (F.col("many") | near_in_size("n", "centre_n"))).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     first = common.materialize(compared(common.materialize(stars, "pairs"), df, size, doc_id, text), "compared")
     linked = (100 * F.col("both") >= percent * F.col("either")).alias("linked")
     roots = common.materialize(components(first.where(linked).select("a", "b")), "roots")
@@ -183,12 +214,21 @@ def groups(df: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_i
     at_centre = F.col("id") == F.col("centre")
     rows = rows.withColumn("low", F.when(at_centre, 0.0).otherwise(F.coalesce("d", by_size))).withColumn("high", F.when(at_centre, 0.0).otherwise(F.coalesce("d", F.lit(1.0))))
     main = own.select(F.col("id").alias("centre"), F.col("root").alias("main"))
-    rows = common.materialize(rows.join(main, "centre", "left").withColumn("main", F.coalesce("main", "centre")).select("key", "id", "n", "root", "main", "low", "high"), "open")
+    rows = common.materialize(rows.join(main, "centre", "left").withColumn("main", F.coalesce("main", "centre")).select("key", "id", "n", "root", "main", "low", "high", "centre", "centre_n"), "open")
     reach = 1 - percent / 100 + 1e-9
     others = rows.where("root <> main").groupBy("key").agg(F.min("low").alias("nearest"), F.max("high").alias("farthest"))
-    left = rows.join(others, "key").where((F.col("root") != F.col("main")) | (F.col("nearest") - F.col("high") <= reach)).select("key", "id", "n", "root", "low", "high")
-    x, y = left.select("key", *(F.col(c).alias(f"a_{c}") for c in ("id", "n", "root", "low", "high"))), left.select("key", *(F.col(c).alias(f"b_{c}") for c in ("id", "n", "root", "low", "high")))
-    possible = (F.col("a_id") < F.col("b_id")) & (F.col("a_root") != F.col("b_root")) & (F.col("a_low") - F.col("b_high") <= reach) & (F.col("b_low") - F.col("a_high") <= reach) & near_in_size("a_n", "b_n")
+    left = rows.join(others, "key").where((F.col("root") != F.col("main")) | (F.col("nearest") - F.col("high") <= reach)).drop("main", "nearest", "farthest")
+    left = common.materialize(left, "left")
+    bounds = shareable(left.select("centre", "id").distinct(), first)
+    at_centre = F.col("id") == F.col("centre")
+    left = left.join(bounds, ["centre", "id"], "left").withColumn("base", F.coalesce("base", F.least("n", "centre_n"))).withColumn("extra", F.coalesce("extra", F.when(at_centre, 0).otherwise(F.col("n"))))
+    left = left.withColumns({f"gone{k}": F.coalesce(F.get("gone", F.lit(k)), F.lit(0).cast("long")) for k in range(CELLS // 64)}).drop("gone", "centre")
+    left = common.materialize(left.where(100 * (F.col("base") + F.col("extra")) >= percent * F.col("n")), "left")  # else nothing of its size is near enough
+    x, y = (left.select("key", "centre_n", *(F.col(c).alias(f"{side}_{c}") for c in left.columns if c not in ("key", "centre_n"))) for side in "ab")
+    y = y.drop("centre_n")
+    lacking = sum((F.bit_count(F.col(f"a_gone{k}").bitwiseOR(F.col(f"b_gone{k}"))) for k in range(CELLS // 64)), F.lit(0))
+    most = F.least("a_base", "b_base", F.col("centre_n") - lacking) + F.least("a_extra", "b_extra")
+    possible = (F.col("a_id") < F.col("b_id")) & (F.col("a_root") != F.col("b_root")) & (F.col("a_low") - F.col("b_high") <= reach) & (F.col("b_low") - F.col("a_high") <= reach) & near_in_size("a_n", "b_n") & ((100 + percent) * most >= percent * (F.col("a_n") + F.col("b_n")))
     rest = x.join(y, "key").where(possible).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
     rest = common.materialize(rest.join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
