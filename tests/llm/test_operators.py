@@ -136,6 +136,39 @@ def test_near_duplicates_equal_brute_force(spark, docs, size):
     assert got == {i: (len(sets[i]), find(i)) for i in sets}
 
 
+def test_near_duplicates_away_from_the_centre(spark):
+    """Families of copies that are linked with each other, but not with the centre of their large bucket."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(0, " ".join(base)), (1, " ".join(base[:40] + [f"tail{k}" for k in range(90)]))]
+    for family in range(12):
+        core = list(base)
+        for k in rng.sample(range(120), 12):
+            core[k] = f"f{family}_{k % 3}"
+        for copy in range(4):
+            w = list(core)
+            for _ in range(rng.randint(1, 4)):
+                w[rng.randrange(120)] = f"x{rng.randrange(6)}"
+            rows.append((10 + 4 * family + copy, " ".join(w)))
+    sets = {i: frozenset(zip(x.split(), x.split()[1:], strict=False)) for i, x in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    want = {i: find(i) for i in sets}
+    assert len(set(want.values())) > 3 and len(set(want.values())) < len(want) / 2
+    got = {r.doc_id: r.component_id for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert got == want
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     rows = neardup.groups(odd, 2).collect()
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in rows) == [(-1, -1, True), (2, 2, True), (3, 3, True), (5, 5, True), (5, 5, True), (7, 7, True), (8, 5, False), (9, 9, True)]
