@@ -18,7 +18,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are boilerplate of their source go; n_chars follows the text."""
-    out = lines.drop_boilerplate(docs, F.col("source"))
+    out = lines.drop_boilerplate(docs, F.col("source"), most_loss=None)
     size = F.when(F.col("_n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")
     return out.withColumn("n_chars", size).select(*docs.columns)
 

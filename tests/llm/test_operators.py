@@ -203,6 +203,19 @@ def test_boilerplate_lines(spark, odd, none):
     assert spark.range(1).select(lines.url_host(F.lit("HTTPS://u@WWW.Example.com:80/x"))).head()[0] == "example.com"
 
 
+def test_every_boilerplate_line_goes(spark, tmp_path):
+    import corpus_pipeline as p
+
+    rows = [(k, f"menu\nsome longer content of page {k} here", "en", "a", 9) for k in range(10)] + [(20, "menu", "en", "a", 4), (21, " menu\nmenu\nx", "en", "a", 12), (22, "menu", "en", "b", 4), (23, None, "en", "a", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {20: (1, 1, ""), 21: (3, 2, "x"), 22: (1, 0, "menu"), 23: (0, 0, "")} | {k: (2, 1, rows[k][1][5:]) for k in range(10)}
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.text_sha256) for r in lines.op9_line_dedup(spark, f"{tmp_path}").collect()}
+    assert got == {i: (n, d, hashlib.sha256(x.encode()).hexdigest()) for i, (n, d, x) in want.items()}
+    staged = {r.doc_id: (r.text, r.n_chars) for r in p.line_stage(spark, df, f"{tmp_path}").collect()}
+    assert staged[20] == ("", 0) and staged[21] == ("x", 1) and staged[23] == (None, None)
+
+
 def test_line_query_equals_sql(spark, small):
     import duckdb
 
