@@ -2,8 +2,11 @@
 
 Numbers, units after numbers, and names become typed placeholders. The hashes of all windows of WINDOW template tokens of a
 document are joined with those of the benchmark's items. Matches of a document, an item and a distance between their
-places are one alignment. An alignment counts if it covers enough of the item and if its slots are consistent: within it,
-equal slot values of the item stand for equal values of the document. So re-parameterised questions are caught as well.
+places (a shift) are one alignment. An alignment counts if it covers enough of the item and if its slots are consistent:
+within it, equal slot values of the item stand for equal values of the document. So re-parameterised questions are caught
+as well. Inserted or deleted tokens change the shift: shifts at most BAND apart are also taken together, each place of the
+item at the shift of its longest run. Where runs meet, a slot may be cut off ('Anna' and 'Anna Maria') and isn't compared.
+QUOTE equal plain words in a row count by themselves.
 
 Items of fewer than WINDOW tokens are compared as a whole with the windows of their length.
 
@@ -21,8 +24,10 @@ from . import common
 WINDOW = 8
 #: An alignment counts from this share of the item's tokens on, or from so many tokens.
 COVER, LONG_RUN = 0.6, 25
-#: Tokens of an aligned window that aren't placeholders, at least, so that templates alone don't match.
+#: Tokens of an alignment that aren't placeholders, at least, so that templates alone don't match.
 LEAST_WORDS = 4
+#: Shifts up to so far apart are joined; so many plain words in a row are a quote.
+BAND, QUOTE = 8, 13
 #: Benchmark windows up to which they are broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 #: Units that count as such after a number.
@@ -86,22 +91,69 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: fl
         few = keys.count() <= MOST_BROADCAST
         part = exploded(hashed_docs, ["doc_id"], size).join(F.broadcast(keys) if few else keys, "key").withColumn("size", F.lit(size))
         found = part if found is None else found.unionByName(part)
-    runs = found.groupBy("doc_id", "item_id", "length", "size", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.min("item_at").alias("lo"), (F.max("item_at") + F.first("size")).alias("hi"), F.count(F.lit(1)).alias("n"))
+    shift = (F.col("at") - F.col("item_at")).alias("shift")
+    runs = found.groupBy("doc_id", "item_id", "length", "size", shift).agg(F.min("item_at").alias("lo"), (F.max("item_at") + F.first("size")).alias("hi"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("item_at")).alias("ats"))
+    runs = common.materialize(runs.withColumn("parts", parts(F.col("ats"), F.col("size"), F.col("shift"))).drop("ats"), "runs")
     covered = F.least(F.col("hi") - F.col("lo"), F.col("n") * F.col("size"))
-    runs = runs.where((covered >= F.ceil(cover * F.col("length"))) | (covered >= LONG_RUN))
-    runs = common.materialize(runs, "alignments")
-    n_runs = runs.count()
+    enough = (covered >= F.ceil(cover * F.col("length"))) | (covered >= LONG_RUN)
+    one = F.transform(F.sequence("lo", F.col("hi") - 1), lambda p: F.struct(p.alias("p"), F.col("shift").alias("shift"), F.lit(False).alias("joint")))
+    single = runs.withColumn("enough", enough).where(F.col("enough") | F.exists("parts", lambda x: x["n"] >= QUOTE)).select("doc_id", "item_id", one.alias("places"), "enough")
+    band = F.floor(F.col("shift") / BAND)
+    chains = runs.withColumn("band", F.explode(F.array(band, band - 1))).groupBy("doc_id", "item_id", "length", "band").agg(F.flatten(F.collect_list("parts")).alias("parts"), F.countDistinct("shift").alias("n_shifts")).where("n_shifts > 1")
+    chains = chains.withColumn("places", common.settled(joined_places(F.col("parts"), F.col("length"))))
+    chains = chains.where((F.size("places") >= F.ceil(cover * F.col("length"))) | (F.size("places") >= LONG_RUN)).select("doc_id", "item_id", "places", F.lit(True).alias("enough"))
+    alignments = common.materialize(single.unionByName(chains), "alignments")
+    few = alignments.count() <= MOST_BROADCAST
     suspects = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    aligned = suspects.join(F.broadcast(runs) if n_runs <= MOST_BROADCAST else runs, "doc_id").join(F.broadcast(items.select("item_id", "item_raw")) if items.count() <= MOST_BROADCAST // 50 else items.select("item_id", "item_raw"), "item_id").withColumn("raw", common.settled(tokens(F.col("text")))).drop("text")
-    length = (F.col("hi") - F.col("lo")).cast("int")
-    aligned = aligned.withColumn("theirs", common.settled(F.slice("item_raw", F.col("lo") + 1, length))).withColumn("ours", F.slice("raw", (F.col("lo") + F.col("shift") + 1).cast("int"), length)).where(F.size("ours") == length)
-    aligned = aligned.withColumn("theirs_t", template(F.col("theirs"))).withColumn("pairs", F.filter(F.arrays_zip("theirs_t", "theirs", "ours"), lambda p: p["theirs_t"] < "\u0002"))
-    slots = F.array_distinct(F.transform("pairs", lambda p: F.struct(F.lower(p["theirs"]).alias("a"), F.lower(p["ours"]).alias("b"))))
-    values = F.array_distinct(F.transform("pairs", lambda p: F.lower(p["theirs"])))
-    words = F.size(F.filter("theirs_t", lambda t: t >= "\u0002"))
-    enough = (words >= LEAST_WORDS) | (words >= F.size("item_raw"))
-    checked = aligned.where((F.size(slots) == F.size(values)) & enough)
-    return checked.select("doc_id", "item_id", (F.col("lo") + F.col("shift")).cast("long").alias("from"), (F.col("hi") + F.col("shift")).cast("long").alias("to"), length.cast("long").alias("n_tokens"), F.size(values).cast("long").alias("slots")).distinct()
+    sources = items.select("item_id", "item_raw")
+    aligned = suspects.join(F.broadcast(alignments) if few else alignments, "doc_id").join(F.broadcast(sources) if items.count() <= MOST_BROADCAST // 50 else sources, "item_id").withColumn("raw", common.settled(tokens(F.col("text")))).drop("text")
+    aligned = aligned.withColumn("kinds", common.settled(template(F.col("item_raw"))))
+
+    def cell(x: Column) -> Column:
+        ours = F.get("raw", (x["p"] + x["shift"]).cast("int"))
+        kind = F.get("kinds", x["p"])
+        value = lambda t: F.lower(F.translate(t, "\u0001", ""))
+        slot = kind < "\u0002"
+        return F.struct(value(F.get("item_raw", x["p"])).alias("a"), value(ours).alias("b"), slot.alias("slot"), x["joint"].alias("joint"))
+
+    aligned = aligned.withColumn("cells", common.settled(F.transform("places", cell))).where(~F.exists("cells", lambda c: c["b"].isNull())).drop("raw", "kinds")
+    pairs = F.filter("cells", lambda c: c["slot"] & ~c["joint"])
+    slots = F.array_distinct(F.transform(pairs, lambda c: F.struct(c["a"], c["b"])))
+    values = F.array_distinct(F.transform(pairs, lambda c: c["a"]))
+    words = F.size(F.filter("cells", lambda c: ~c["slot"]))
+    whole = F.col("enough") & (F.size(slots) == F.size(values)) & ((words >= LEAST_WORDS) | (words >= F.size("item_raw")))
+    checked = aligned.where(whole | (longest_quote(F.col("cells")) >= QUOTE))
+    ends = F.transform("places", lambda x: x["p"] + x["shift"])
+    return checked.select("doc_id", "item_id", F.array_min(ends).cast("long").alias("from"), (F.array_max(ends) + 1).cast("long").alias("to"), F.size("places").cast("long").alias("n_tokens"), F.size(values).cast("long").alias("slots")).distinct()
+
+
+def parts(ats: Column, size: Column, shift: Column) -> Column:
+    """The unbroken runs of windows that begin at `ats` (ascending): n (tokens), shift, lo and hi."""
+    los = F.filter(ats, lambda a, i: F.coalesce(F.get(ats, i - 1) < a - 1, F.lit(True)))
+    his = F.filter(ats, lambda a, i: F.coalesce(F.get(ats, i + 1) > a + 1, F.lit(True)))
+    return F.zip_with(los, his, lambda a, b: F.struct((b + size - a).alias("n"), shift.alias("shift"), a.alias("lo"), (b + size).alias("hi")))
+
+
+def joined_places(runs: Column, length: Column) -> Column:
+    """Each place of the item that a run covers, at the shift of its longest run, and whether the run ends beside it."""
+    owner = F.transform(F.sequence(F.lit(0), length - 1), lambda p: F.struct(p.alias("p"), F.array_max(F.filter(runs, lambda r: (r["lo"] <= p) & (p < r["hi"])))["shift"].alias("shift")))
+    beside = lambda x, p: F.coalesce(F.get(x, p)["shift"], F.lit(-(2**31)))
+
+    def marked(got: Column) -> Column:
+        return F.transform(got, lambda o, i: F.struct(o["p"].alias("p"), o["shift"].alias("shift"), ((beside(got, i - 1) != o["shift"]) | (beside(got, i + 1) != o["shift"])).alias("joint")))
+
+    # an array of one array: the owners are computed once
+    return F.filter(F.get(F.transform(F.array(owner), marked), F.lit(0)), lambda o: o["shift"].isNotNull())
+
+
+def longest_quote(cells: Column) -> Column:
+    """Tokens of the longest stretch of equal words, without slots."""
+
+    def step(s: Column, c: Column) -> Column:
+        n = F.when(~c["slot"] & (c["a"] == c["b"]), s["n"] + 1).otherwise(0)
+        return F.struct(n.alias("n"), F.greatest(s["best"], n).alias("best"))
+
+    return F.aggregate(cells, F.struct(F.lit(0).alias("n"), F.lit(0).alias("best")), step, lambda s: s["best"])
 
 
 def leaked_ids(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

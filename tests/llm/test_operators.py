@@ -186,6 +186,21 @@ def test_template_leaks(spark, odd, none):
     assert decontaminate.clean(odd, bench).count() == len(ROWS) and decontaminate.leaks(none, bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_across_inserted_tokens(spark):
+    item = "Yesterday Anna carried 12 heavy boxes of ripe pears up the narrow stairs, and after a short rest at the window Anna sold 5 of these boxes to the old neighbour for lunch"
+    long_name = item.replace("Anna", "Anna Maria")
+    moved = item.replace("12", "fifteen hundred").replace("Anna", "Eva").replace(" 5 ", " 7 ")
+    one, gone = item.replace("short rest", "short quiet rest"), item.replace(" short rest", " rest")
+    quote = "They say ripe pears up the narrow stairs, and after a short rest at the window is all that is left"
+    unlike = item.replace("short rest", "short quiet rest").replace("12 heavy boxes of ripe pears", "12 heavy boxes of 12 pears").replace("Yesterday Anna carried", "Yesterday Eva carried the old red").replace("Anna sold", "Eva sold")
+    mixed = "So 3 cats and 4 dogs met 3 cows near the barn by noon that day, and 3 more birds came with 4 mice and 3 hens"
+    wrong = mixed.replace("3 cats", "8 cats").replace("that day", "that very day")
+    bench = spark.createDataFrame([(1, item), (2, mixed)], "item_id long, text string")
+    rows = [long_name, moved, one, gone, quote, unlike, wrong, "up the narrow stairs, and after a long rest at the window"]
+    docs = spark.createDataFrame([(k, f"It began so. {x} and that was all.") for k, x in enumerate(rows)], "doc_id long, text string")
+    assert {r.doc_id for r in decontaminate.leaked_ids(docs, bench).collect()} == {0, 1, 2, 3, 4, 5}
+
+
 def test_exact_items_are_found(spark, small, docs):
     bench = spark.read.parquet(f"{small}/benchmark.parquet")
     want = {i for i, x in docs.items() for b in bench.collect() if b.text in x}
