@@ -8,7 +8,8 @@ as well. Inserted or deleted tokens change the shift: shifts at most BAND apart
 item at the shift of its longest run. Where runs meet, a slot may be cut off ('Anna' and 'Anna Maria') and isn't compared.
 QUOTE equal plain words in a row count by themselves.
 
-Items of fewer than WINDOW tokens are compared as a whole with the windows of their length.
+Items of fewer than WINDOW tokens are compared as a whole with the windows of their length. An item's first token matches
+as a word and, if it is capitalised, as a name.
 
 Defined cases: a null or empty text has no windows and is clean; null or empty items match nothing; repeated documents each
 get a result; repeated items are reported by each of their ids; further columns are ignored.
@@ -24,7 +25,7 @@ from . import common
 WINDOW = 8
 #: An alignment counts from this share of the item's tokens on, or from so many tokens.
 COVER, LONG_RUN = 0.6, 25
-#: Tokens of an alignment that aren't placeholders, at least, so that templates alone don't match.
+#: Tokens of an alignment that aren't placeholders, at least, so that templates alone don't match; not asked of verbatim copies.
 LEAST_WORDS = 4
 #: Shifts up to so far apart are joined; so many plain words in a row are a quote.
 BAND, QUOTE = 8, 13
@@ -87,7 +88,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: fl
     short = [r[0] for r in items.where(F.size("h") < window).select(F.size("h")).distinct().collect()]  # at most window - 1 sizes
     for size in [window, *sorted(short, reverse=True)]:
         own = items.where(F.size("h") >= window if size == window else F.size("h") == size)
-        keys = exploded(own.select("item_id", F.size("h").alias("length"), "h"), ["item_id", "length"], size).withColumnRenamed("at", "item_at")
+        first = own.where(F.get("item_raw", F.lit(0)).rlike(r"^\p{Lu}\p{Ll}")).withColumn("h", F.concat(F.array(F.xxhash64(F.lit(NAME))), F.slice("h", 2, F.size("h"))))
+        plain, named = (exploded(x.select("item_id", F.size("h").alias("length"), "h"), ["item_id", "length"], size).withColumnRenamed("at", "item_at") for x in (own, first))
+        keys = plain.unionByName(named.where("item_at = 0"))
         few = keys.count() <= MOST_BROADCAST
         part = exploded(hashed_docs, ["doc_id"], size).join(F.broadcast(keys) if few else keys, "key").withColumn("size", F.lit(size))
         found = part if found is None else found.unionByName(part)
@@ -103,8 +106,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: fl
     chains = chains.withColumn("places", common.settled(joined_places(F.col("parts"), F.col("length"))))
     chains = chains.where((F.size("places") >= F.ceil(cover * F.col("length"))) | (F.size("places") >= LONG_RUN)).select("doc_id", "item_id", "places", F.lit(True).alias("enough"))
     alignments = common.materialize(single.unionByName(chains), "alignments")
-    few = alignments.count() <= MOST_BROADCAST
+    few = alignments.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).head()[0] <= MOST_BROADCAST
     suspects = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    if not few:  # only the texts that are needed are shuffled
+        ids = common.materialize(alignments.select("doc_id").distinct(), "suspects")
+        suspects = suspects.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "doc_id", "left_semi")
     sources = items.select("item_id", "item_raw")
     aligned = suspects.join(F.broadcast(alignments) if few else alignments, "doc_id").join(F.broadcast(sources) if items.count() <= MOST_BROADCAST // 50 else sources, "item_id").withColumn("raw", common.settled(tokens(F.col("text")))).drop("text")
     aligned = aligned.withColumn("kinds", common.settled(template(F.col("item_raw"))))
@@ -113,7 +119,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: fl
         ours = F.get("raw", (x["p"] + x["shift"]).cast("int"))
         kind = F.get("kinds", x["p"])
         value = lambda t: F.lower(F.translate(t, "\u0001", ""))
-        slot = kind < "\u0002"
+        slot = (kind < "\u0002") | ((x["p"] == 0) & (ours < "\u0002"))
         return F.struct(value(F.get("item_raw", x["p"])).alias("a"), value(ours).alias("b"), slot.alias("slot"), x["joint"].alias("joint"))
 
     aligned = aligned.withColumn("cells", common.settled(F.transform("places", cell))).where(~F.exists("cells", lambda c: c["b"].isNull())).drop("raw", "kinds")
@@ -121,7 +127,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: fl
     slots = F.array_distinct(F.transform(pairs, lambda c: F.struct(c["a"], c["b"])))
     values = F.array_distinct(F.transform(pairs, lambda c: c["a"]))
     words = F.size(F.filter("cells", lambda c: ~c["slot"]))
-    whole = F.col("enough") & (F.size(slots) == F.size(values)) & ((words >= LEAST_WORDS) | (words >= F.size("item_raw")))
+    verbatim = F.forall("cells", lambda c: ~c["slot"] | (c["a"] == c["b"]))
+    whole = F.col("enough") & (F.size(slots) == F.size(values)) & ((words >= LEAST_WORDS) | (words >= F.size("item_raw")) | verbatim)
     checked = aligned.where(whole | (longest_quote(F.col("cells")) >= QUOTE))
     ends = F.transform("places", lambda x: x["p"] + x["shift"])
     return checked.select("doc_id", "item_id", F.array_min(ends).cast("long").alias("from"), (F.array_max(ends) + 1).cast("long").alias("to"), F.size("places").cast("long").alias("n_tokens"), F.size(values).cast("long").alias("slots")).distinct()

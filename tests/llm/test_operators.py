@@ -201,6 +201,13 @@ def test_leaks_across_inserted_tokens(spark):
     assert {r.doc_id for r in decontaminate.leaked_ids(docs, bench).collect()} == {0, 1, 2, 3, 4, 5}
 
 
+def test_leaks_with_few_words(spark):
+    bench = spark.createDataFrame([(1, "What is 12 times 14?"), (2, "Only four words here"), (3, "Those eight tokens are all of this item"), (4, "Add 1 2 3 4 5 6 7 8 9 and 10")], "item_id long, text string")
+    texts = ["well, What is 12 times 14? Tell me", "see Only four words here", "we say Those eight tokens are all of this item", "then Add 1 2 3 4 5 6 7 8 9 and 10", "What is 13 times 14?", "see Many four words here", "then Add 1 2 3 4 5 6 7 8 1 and 10"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r.doc_id, r.first_item) for r in decontaminate.leaked_ids(docs, bench).collect()} == {(0, 1), (1, 2), (2, 3), (3, 4)}
+
+
 def test_exact_items_are_found(spark, small, docs):
     bench = spark.read.parquet(f"{small}/benchmark.parquet")
     want = {i for i, x in docs.items() for b in bench.collect() if b.text in x}
