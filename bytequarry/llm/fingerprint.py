@@ -7,6 +7,8 @@ inserted or deleted by adding or subtracting its vector. The vector has two part
 * 32 lanes of 64 bits from SHAKE-128, modulo 2**64: equal sums mean equal multisets.
 * 256 lanes of 32 bits, modulo 2**32, a sketch of the windows of 12 bytes that begin at the paragraph's words, each adding
   +1 or -1 to one lane. The cosine of two such sums estimates how much two documents share, also where a paragraph was cut.
+  Words end at any white space. In one of more than 12 bytes (or a text without spaces) further windows begin at places
+  that its bytes define, at most 8 bytes apart, so the windows cover all of it.
 
 Defined cases: a null text counts as empty; an empty text has the zero vector, which is like another empty one (1) and unlike
 all others (0); a null id sorts below all ids; rows with the same id are ordered by text; a single row is its own next one.
@@ -25,11 +27,45 @@ from pyspark.sql import functions as F
 from . import common
 
 WIDE, LANES = 32, 256
+SIZE, APART, SEED = 12, 8, 4  # bytes of a window, between places in a long word at most, and that decide on a place
+SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 28, 29, 30, 31, 32])
+#: White space beyond ASCII, as in str.isspace().
+WIDE_SPACES = [chr(k).encode() for k in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+LEADS = np.isin(np.arange(256), [x[0] for x in WIDE_SPACES])
+WIDE_CODES = np.array([int.from_bytes(x, "little") for x in WIDE_SPACES], np.uint64)
 MASK = np.array([0] + [(1 << (8 * k)) - 1 for k in range(1, 9)], np.uint64)
 #: Parts into which the ids are cut: a few thousand rows each, at least and at most so many.
 PART_ROWS, LEAST_PARTS, MOST_PARTS = 2_000, 256, 50_000
 
 
+def gaps(b: np.ndarray, view: np.ndarray) -> np.ndarray:
+    """Which bytes belong to white space."""
+    out = SPACES[b]
+    lead = np.flatnonzero(LEADS[b])
+    for n in (2, 3):
+        for k in range(n):
+            out[lead[np.isin(view[lead] & MASK[n], WIDE_CODES)] + k] = True
+    return out
+
+
+def inner_places(start: np.ndarray, end: np.ndarray, view: np.ndarray) -> np.ndarray:
+    """Places within the runs of more than SIZE bytes: the least hash of each APART places in a row (all, if they tie)."""
+    long = end - start > SIZE
+    start, n = start[long], (end - start)[long] - SEED + 1
+    if not len(start):
+        return start
+    run = np.repeat(np.arange(len(start)), n)
+    at = np.arange(len(run)) + np.repeat(start - (np.cumsum(n) - n), n)
+    h = (view[at] & MASK[SEED]) * np.uint64(0x9E3779B97F4A7C15)
+    h = ((h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)).astype(np.int64)
+    m = len(h) - APART + 1
+    least = np.where(run[:m] == run[APART - 1 :], np.min([h[k : k + m] for k in range(APART)], axis=0), -1)
+    most = np.full(len(h), -1, np.int64)
+    for k in range(APART):
+        np.maximum(most[k : k + m], least, out=most[k : k + m])
+    return at[(most == h) & (at > start[run])]
+
+
 def fingerprints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The two parts of each text's vector: uint64 (n, WIDE) and int32 (n, LANES)."""
     n = len(texts)
@@ -48,10 +84,12 @@ def fingerprints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     body = b"\n".join(raw) + b"\n" + bytes(16)
     b = np.frombuffer(body, np.uint8)[: len(body) - 16]
     newline = np.flatnonzero(b == 10)
-    gap = (b == 32) | (b == 10)
+    view = np.ndarray((len(body) - 8,), "<u8", body, 0, (1,))
+    gap = gaps(b, view)
     start = np.flatnonzero(~gap & np.concatenate(([True], gap[:-1])))
+    end = np.flatnonzero(gap & np.concatenate(([False], ~gap[:-1])))
+    start = np.sort(np.concatenate((start, inner_places(start, end, view))))
     left = newline[np.searchsorted(newline, start)] - start
-    view = np.ndarray((len(body) - 8,), "<u8", body, 0, (1,))
     a = view[start] & MASK[np.minimum(left, 8)]
     c = view[start + 8] & MASK[np.clip(left - 8, 0, 4)]
     h = a * np.uint64(0x9E3779B97F4A7C15) ^ (c + np.uint64(0x5851F42D4C957F2D)) * np.uint64(0xC2B2AE3D27D4EB4F)

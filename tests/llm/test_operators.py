@@ -107,6 +107,24 @@ def test_fingerprints(odd, none):
     assert fingerprint.edit_digests(none).count() == 0 and fingerprint.fingerprint(odd).count() == len(ROWS)
 
 
+def test_likeness_of_texts_without_spaces():
+    rng = random.Random(4)
+    near = lambda x, y: float(fingerprint.likeness(fingerprint.fingerprints([x]), fingerprint.fingerprints([y]))[0])
+    chinese = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(n))
+    for make in (chinese, lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789+/", k=n))):
+        x, y = make(1_000), make(1_000)
+        assert 0.3 < near(x, x[:500] + y[:500]) < 0.7 and 0.3 < near(x, y[:500] + x[:500]) < 0.7 and near(x, x[:12] + y) < 0.3
+        assert near(x, x[:300] + "q" + x[300:]) > 0.95
+    words = [f"w{k}" for k in range(300)]
+    other = [f"v{k}" for k in range(300)]
+    for gap in ("\t", "\r", "\u3000", "\xa0", "\u2009"):
+        assert np.array_equal(fingerprint.gaps(np.frombuffer(f"a{gap}b\n".encode(), np.uint8), np.ndarray((len(gap.encode()) + 11,), "<u8", f"a{gap}b\n".encode() + bytes(16), 0, (1,))), [False, *[True] * len(gap.encode()), False, True])
+        assert 0.3 < near(gap.join(words), gap.join(words[:150] + other[:150])) < 0.7
+    a, b, c = chinese(30), chinese(40), chinese(50)  # a paragraph's vector doesn't depend on those beside it
+    fp = lambda x: fingerprint.pack(*fingerprint.fingerprints([x]))[0]
+    assert fp(f"{a}\n{b}\n{c}") == fp(f"{c}\n{a}\n{b}") == fingerprint.changed(fp(f"{a}\n{c}"), [b]) and fp("q" * 100) != fp("q" * 101)
+
+
 @pytest.mark.parametrize("size", [2, 5])
 def test_near_duplicates_equal_brute_force(spark, docs, size):
     base = list(docs.items())[:60]
