@@ -25,6 +25,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +38,15 @@ BITS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20)
 TOO_LARGE = (1 << 20) - 1
 NO_ID = -(2**63)
 BLOCK_IDS = 262_144
+BLOCK_CHARS = 4_000_000
+#: Chunks remembered by a worker, in two generations; those not used since the younger one began go first.
 MOST_WORDS = 400_000
+#: Chunks are encoded in strings of so many.
+JOINED = 500
 #: Chunks that are encoded by themselves: no white space but one line feed in front.
 PLAIN = re.compile(r"\n?\S+").fullmatch
+#: Marks that end a word's pre-token and are one pre-token together; an apostrophe may begin a contraction.
+MARKS = '.,;:!?"()[]{}<>#$%&*+-/=@^_|~'
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,10 +130,13 @@ def read_block(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class ByteBPE:
-    """Ids of whole texts by the tokenizers library, each distinct chunk between single spaces encoded once.
+    """Ids of whole texts by the tokenizers library, each distinct word between single spaces encoded once.
 
     Between a character that isn't white space, one space or line feed, and another such character, the library's
-    pre-tokens always end; so chunks can be encoded by themselves. Texts with other white space go to it whole.
+    pre-tokens always end; so chunks can be encoded by themselves. Of letters followed by marks both are pre-tokens, so
+    'word', 'word,' and 'word."' share the word's ids. The library gets many chunks in one string, as a call or a result for
+    each costs more than the chunk: only a chunk's first token begins with the space (or is the line feed) before it, which
+    tells where its ids begin. Texts with other white space go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -139,32 +149,103 @@ class ByteBPE:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        vocabulary = self.tokenizer.get_vocab()
+        space, feed = (self._library([c])[0] for c in (" ", "\n"))
+        self.feed = feed
+        names = {i: t for t, i in vocabulary.items()}
+        self.begins = {c: np.zeros(max(names) + 1, bool) for c in " \n"}
+        for c, mark in ((" ", space), ("\n", feed)):
+            if len(mark) == 4 and (own := names[int.from_bytes(mark, "little")]):
+                self.begins[c][[i for i, t in names.items() if t.startswith(own)]] = True
         self.known: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
+        self.marks: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         fast = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [array("I", e.ids).tobytes() for e in fast(texts, add_special_tokens=False)]
 
+    def _joined(self, words: list[str], before: str) -> list[bytes]:
+        """The ids of each word with `before` in front of it, the words being free of white space."""
+        out: list[bytes] = []
+        groups = [words[k : k + JOINED] for k in range(0, len(words), JOINED)]
+        for own, ids in zip(groups, self._library([before + before.join(g) for g in groups]), strict=True):
+            at = (np.flatnonzero(self.begins[before][np.frombuffer(ids, "<u4")]) * 4).tolist()
+            if len(at) == len(own) and not at[0]:
+                out += [ids[s:e] for s, e in zip(at, [*at[1:], len(ids)], strict=True)]
+            else:  # a vocabulary whose tokens don't tell
+                out += self._library([before + w for w in own])
+        return out
+
     def learn(self, chunks: list[str]) -> None:
-        plain = [c for c in chunks if PLAIN(c)]
-        known = self.known
-        known.update(dict.fromkeys(chunks))
-        known.update(zip(plain, self._library([c if c[0] == "\n" else " " + c for c in plain]), strict=True))
+        """Remember the ids of the chunks: those of a space and the chunk, or of a chunk that begins with a line feed."""
+        known, older = self.known, self.older
+        words: dict[str, set[str]] = {" ": set(), "\n": set()}
+        parts: list[tuple[str, str, str]] = []
+        for c in chunks:
+            if c.isalpha():
+                words[" "].add(c)
+            elif not PLAIN(c):
+                known[c] = None
+            else:
+                feed = c[0] == "\n"
+                word = c.rstrip(MARKS)
+                if not (word[1:] if feed else word).isalpha():
+                    word = c
+                if word not in known:
+                    if (old := older.get(word)) is not None:
+                        known[word] = old
+                    elif feed:
+                        words["\n"].add(word[1:])
+                    else:
+                        words[" "].add(word)
+                if word is not c:
+                    parts.append((c, word, c[len(word) :]))
+        for before, own in words.items():
+            own = list(own)
+            known.update(zip(own if before == " " else [before + w for w in own], self._joined(own, before), strict=True))
+        if len(self.marks) > MOST_WORDS // 10:
+            self.marks.clear()
+        marks = self.marks
+        ends = list({m for _, _, m in parts if m not in marks})
+        marks.update(zip(ends, self._library(ends), strict=True))
+        known.update((c, known[w] + marks[m]) for c, w, m in parts)
+
+    def _ids(self, chunks: list[str]) -> list[bytes | None]:
+        """The ids of distinct chunks; None where a text with such a chunk has to be encoded whole."""
+        if len(self.known) > MOST_WORDS // 2:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        new = []
+        for c in chunks:
+            if c not in known:
+                if c in older:
+                    known[c] = older[c]
+                else:
+                    new.append(c)
+        if new:
+            self.learn(new)
+        return [known[c] for c in chunks]
 
     def encode_block(self, texts: list[str]) -> list[bytes]:
-        """Little-endian u32 ids of each text."""
-        rows = [None if any(s in x for s in self.special) else ("\n" + x).replace("\n", " \n")[1:].split(" ") if x else [] for x in texts]
-        new = set().union(*(r for r in rows if r))
-        if len(self.known) + len(new) > MOST_WORDS:
-            self.known = {c: self.known[c] for c in new if c in self.known}
-        known = self.known
-        if new := [c for c in new if c not in known]:
-            self.learn(new)
-        out: list[bytes | None] = []
-        for r in rows:
-            got = None if r is None else [known[c] for c in r]
-            out.append(None if got is None or None in got else b"".join(got)[4:] if got else b"")
-        whole = [k for k, x in enumerate(out) if x is None]
+        """Little-endian u32 ids of each text. Each distinct chunk of the block is looked up once."""
+        if not texts:
+            return []
+        whole = np.array([any(s in x for s in self.special) for x in texts])
+        led = pa.array([("\n" + x).replace("\n", " \n") for x in texts], pa.large_string())
+        rows = pc.split_pattern(led, " ")  # the first of each row is empty, as the text begins with " \n" now
+        offsets = rows.offsets.to_numpy()
+        coded = rows.values.dictionary_encode()
+        ids = self._ids(coded.dictionary.to_pylist())
+        unknown = np.array([x is None for x in ids])[coded.indices.to_numpy()]
+        unknown[offsets[:-1]] = False
+        whole |= np.logical_or.reduceat(unknown, offsets[:-1])
+        made = pa.array([x or b"" for x in ids], pa.large_binary()).take(coded.indices)
+        _, ends, body = made.buffers()
+        ends = np.frombuffer(ends, np.int64)[offsets].tolist()
+        body, skip = memoryview(body or b""), len(self.feed)
+        out = [bytes(body[s + skip : e]) if x else b"" for x, s, e in zip(texts, ends, ends[1:], strict=False)]
+        whole = np.flatnonzero(whole & np.array([bool(x) for x in texts])).tolist()
         for k, x in zip(whole, self._library([texts[k] for k in whole]), strict=True):
             out[k] = x
         return out
@@ -201,20 +282,21 @@ def write(df: DataFrame, to: str, path: str | None = None, end_id: int = 0, doc_
             made = write_block(ids, lengths, np.frombuffer(b"".join(body), "<u4"))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([held], pa.int64()), pa.array([made], pa.binary())], names=["part", "first", "n_ids", "payload"])
 
-        for batch, texts in common.blocks(batches, "text"):
-            orders, parts = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("ord", "part"))
-            for o, p, x in zip(orders, parts, byte_encoder(path).encode_block(texts), strict=True):
-                if held and (p != part or held >= BLOCK_IDS):
-                    yield block()
-                    first, held, ids, lengths, body = first + held, 0, [], [], []
-                if p != part:
-                    part, first = p, 0
-                ids.append(o)
-                lengths.append(len(x) // 4 + 1)
-                body += (x, end)
-                held += lengths[-1]
-        if held:
-            yield block()
+        with common.steady():
+            for batch, texts in common.blocks(batches, "text", BLOCK_CHARS):
+                orders, parts = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("ord", "part"))
+                for o, p, x in zip(orders, parts, byte_encoder(path).encode_block(texts), strict=True):
+                    if held and (p != part or held >= BLOCK_IDS):
+                        yield block()
+                        first, held, ids, lengths, body = first + held, 0, [], [], []
+                    if p != part:
+                        part, first = p, 0
+                    ids.append(o)
+                    lengths.append(len(x) // 4 + 1)
+                    body += (x, end)
+                    held += lengths[-1]
+            if held:
+                yield block()
 
     rows = parted(df, doc_id, text).repartition("part").sortWithinPartitions("part", "ord", "text").select("ord", "part", "text")
     rows.mapInArrow(run, "part int, first long, n_ids long, payload binary").write.option("compression", "zstd").parquet(to)
