@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Labelled documents that a classifier learns from, at most; a documented bound, the same at every size.
 MOST_LABELLED = 6_000
+#: Rows of ids that go to every executor at most, unless an operator has a bound of its own.
+MOST_BROADCAST = 1_000_000
 #: Text is handled in blocks of about so many characters, which bounds the memory of a Python worker.
 BLOCK_CHARS = 2_000_000
 
@@ -46,12 +49,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session (tests, bench)
+    gets a temporary one; a cluster has no folder that could be guessed, so there it is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = jvm_dir.get() if jvm_dir.isDefined() else None
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="bytequarry-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -62,11 +68,38 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors. The table stays there, as
+    the result is read lazily; tables that only a step in between needs belong in a Scratch."""
+    return _written(df, scratch_path(df.sparkSession, label))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables that are deleted at the end of the block. Nothing that is read later may depend on them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def table(self, df: DataFrame, label: str) -> DataFrame:
+        self.paths.append(scratch_path(self.spark, label))
+        return _written(df, self.paths[-1])
+
+    def drop(self, count: int | None = None) -> None:
+        """Delete the oldest `count` tables, or all."""
+        gone = self.paths[:count]
+        del self.paths[:count]
+        for p in gone:
+            drop_path(self.spark, p)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop()
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -76,14 +109,27 @@ def drop_path(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case."""
+    there = {c.lower() for c in df.columns}
+    while name.lower() in there:
+        name += "_"
+    return name
+
+
+def few(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """df, to be broadcast if it has at most `most` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def settled(column: Column) -> Column:
     """The column, computed once: as the optimizer holds it for random, it doesn't copy it into filters and later columns."""
     return F.when(F.monotonically_increasing_id() >= 0, column)
 
 
 def held_out(doc_id: Column) -> Column:
-    """Whether a row belongs to the fold that no model may learn from."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    """Whether a row belongs to the fold that no model may learn from. A row without an id does, as if its id were empty."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = BLOCK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -103,7 +149,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = B
             size += n or 0
 
 
-def map_blocks(df: DataFrame, schema: str, work: Callable[[list[str]], dict[str, object]], keep: str = "doc_id", text: str = "text", kept_type: str = "long") -> DataFrame:
+def map_blocks(df: DataFrame, schema: str, work: Callable[[list[str]], dict[str, object]], keep: str = "doc_id", text: str = "text", kept_type: str = "long", chars: int = BLOCK_CHARS) -> DataFrame:
     """Apply `work` to blocks of whole texts; its columns follow the kept one. `schema` lists the added columns in order."""
     from pyspark.sql.types import StructType
 
@@ -111,7 +157,7 @@ def map_blocks(df: DataFrame, schema: str, work: Callable[[list[str]], dict[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with steady():
-            for batch, texts in blocks(batches, text):
+            for batch, texts in blocks(batches, text, chars):
                 got = work(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(keep)), *(x if isinstance(x := got[n], pa.Array) else pa.array(x) for n in names)], names=[keep, *names])
 
@@ -120,8 +166,10 @@ def map_blocks(df: DataFrame, schema: str, work: Callable[[list[str]], dict[str,
 
 def labelled_sample(spark: SparkSession, sf_dir: str, label: str, most: int = MOST_LABELLED) -> tuple[DataFrame, dict[int, int]]:
     """Whole texts of at most `most` labelled documents outside the held-out fold, half of each class if there are so many,
-    chosen by the hash of their id; and how many labelled rows each class has. Rows without a label or text don't count."""
-    mine = table(spark, sf_dir, "labels").select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    chosen by the hash of their id; and how many labelled documents each class has. Rows without a label or an id don't
+    count, nor do documents with conflicting labels; of several texts with one id the least is taken."""
+    mine = table(spark, sf_dir, "labels").select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    mine = mine.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
     counts = {r["label"]: r["count"] for r in mine.groupBy("label").count().collect()}
     quota = {k: min(n, max(most // 2, most - counts.get(1 - k, 0))) for k, n in counts.items()}
     picked = None
@@ -131,4 +179,4 @@ def labelled_sample(spark: SparkSession, sf_dir: str, label: str, most: int = MO
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     if picked is None:
         return docs.limit(0).withColumn("label", F.lit(0)), counts
-    return docs.join(F.broadcast(picked), "doc_id"), counts  # at most `most` ids and labels
+    return docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")), counts  # at most `most` ids and labels
