@@ -9,9 +9,14 @@ sets can share: of the centre's shingles those that neither lacks, and of the ot
 What is left, and isn't connected yet, is compared as well. A pair at the threshold shares no band with probability below
 1e-6.
 
+What the bound leaves of a large bucket is compared in tiles of TILE members each, so no task holds more than two tiles.
+Tables in between are deleted at the end; the classes of all documents stay, as the result reads them.
+
 Defined cases: a document with fewer words than a shingle has its whole sequence as the only shingle; one without words (null
 and empty texts too) is linked with nothing; a row without id is linked with nothing and stays; repeated rows share their
-id's verdict.
+id's verdict, and rows of one id with different texts are one node with the links of either; an empty table has no rows.
+`keep_one` keeps further columns, whatever their names; `groups` leaves them out. The shingles of a very long text take
+about 30 bytes of memory per word.
 """
 
 from __future__ import annotations
@@ -36,6 +41,8 @@ GROUP_ROWS = 256
 MOST_WORDS = 200_000
 #: Cells, by hash, in which what a set lacks of its centre is noted.
 CELLS = 256
+#: Members of a tile.
+TILE = 1_000
 #: From so many members on, a bucket's centre is compared with those of another size too, for the bound.
 MANY = 16
 
@@ -138,24 +145,31 @@ def compared(pairs: DataFrame, df: DataFrame, size: int, doc_id: str, text: str)
 
     The texts of a's partners meet the text of a in groups of at most about GROUP_ROWS, so no a makes a large task.
     """
-    n = pairs.count()
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).alias("groups"))
-    salted = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("salt"))
+    few = pairs.count() <= MOST_BROADCAST
+    # only an a with more partners than a group needs salts: a share of the pairs, and never dealt by a
+    large = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).alias("groups")).where("groups > 1")
+    salted = pairs.join(common.few(large), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("groups", F.lit(1))).alias("salt"))
     wanted = salted.select(F.col("b").alias("doc_id"), "a", "salt", F.lit(1).alias("role")).unionByName(salted.select(F.col("a").alias("doc_id"), "a", "salt", F.lit(0).alias("role")).distinct())
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    rows = docs.join(F.broadcast(wanted) if n <= MOST_BROADCAST else wanted, "doc_id").repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
+    rows = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
 
     def run(batches):
-        group, mine = None, np.empty(0, np.uint64)  # the centre's rows come first
+        group, centres = None, []  # the centre's rows come first; an id may have several texts
         for batch, texts in common.blocks(batches):
             out = []
             for b, a, salt, role, x in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "a", "salt", "role")), texts, strict=True):
                 found = shingles(x, size)
                 if role == 0:
-                    group, mine = (a, salt), found
+                    if group != (a, salt):
+                        group, centres = (a, salt), []
+                    if not any(np.array_equal(found, c) for c in centres):
+                        centres.append(found)
                 elif group == (a, salt):
-                    both, gone, more = against(mine, found)
-                    out.append((a, b, both, len(mine) + len(found) - both, gone, more))
+                    rows = []
+                    for mine in centres:
+                        both, gone, more = against(mine, found)
+                        rows.append((a, b, both, len(mine) + len(found) - both, gone, more))
+                    out.append(max(rows, key=lambda r: r[2] / max(1, r[3])))
             kinds = [*[pa.int64()] * 4, pa.list_(pa.int64()), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["a", "b", "both", "either", "gone", "more"])
 
@@ -172,21 +186,32 @@ def shareable(members: DataFrame, first: DataFrame) -> DataFrame:
     return own.drop("more").join(extra, ["centre", "id"], "left").select("centre", "id", F.col("both").alias("base"), F.coalesce("extra", F.lit(0)).alias("extra"), "gone")
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """node and root (the smallest node reachable) of every node with a link; links: a, b. Alternates large and small stars."""
-    edges = common.materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+def components(links: DataFrame, scratch: common.Scratch, rounds: int = 1_000) -> DataFrame:
+    """node and root (the smallest node reachable) of every node with a link; links: a, b. Alternates large and small stars
+    until nothing changes, which takes about the logarithm of the longest path; raises an error if it takes `rounds`."""
+    edges = scratch.table(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     seen = None
     for _ in range(rounds):
         sides = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = sides.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = sides.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        edges = common.materialize(large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "links")
+        edges = scratch.table(large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "links")
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).head())
         if now == seen:
-            break
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    raise RuntimeError(f"components didn't settle in {rounds} rounds")
+
+
+def tiled(left: DataFrame, tile: int = TILE) -> DataFrame:
+    """left with its key made narrower: the members of a key are dealt into tiles of about `tile`, and each member goes to
+    every pair of tiles (t, u), t <= u, that its own is one of. Two members of a key meet in exactly one of these pairs;
+    `side` tells the tile (0: t, 1: u)."""
+    large = left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles")).where("tiles > 1")
+    dealt = left.join(common.few(large), "key", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least("tile", o).alias("t"), F.greatest("tile", o).alias("u"), (F.col("tile") > o).cast("int").alias("side")))
+    return dealt.withColumn("cell", F.explode(cells)).select("*", "cell.*").drop("tiles", "tile", "cell")
 
 
 def groups(df: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -194,60 +219,71 @@ def groups(df: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_i
     signed = common.materialize(signatures(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), size), "signatures")
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = common.materialize(full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min_by("bands", "doc_id").alias("bands"), F.min("n_shingles").alias("n")), "classes")
-    slots = common.settled(F.col("bands"))
-    keys = classes.select("id", "n", slots.alias("bands")).select("id", "n", F.explode("bands").alias("key"))
-    centres = keys.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("m"), F.min_by("n", "id").alias("centre_n")).where("m > 1").select("key", "centre", "centre_n", (F.col("m") >= MANY).alias("many"))
-    buckets = common.materialize(keys.join(centres, "key"), "buckets")
+    with common.Scratch(df.sparkSession) as scratch:
+        roots = linked_roots(classes, df, size, percent, doc_id, text, scratch)
+        verdicts = classes.join(roots, classes["id"] == roots["node"], "left").select("set_a", "set_b", F.coalesce("root", "id").alias("root"), "id", "copies").where("copies > 1 OR root <> id").select("set_a", "set_b", "root")
+        verdicts = common.materialize(verdicts, "verdicts")
+    out = signed.withColumn("linkable", F.expr("n_shingles > 0 AND doc_id IS NOT NULL")).join(common.few(verdicts, MOST_BROADCAST), ["set_a", "set_b"], "left")
+    component = F.when(F.col("linkable"), F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def linked_roots(classes: DataFrame, df: DataFrame, size: int, percent: int, doc_id: str, text: str, scratch: common.Scratch) -> DataFrame:
+    """node and root of the classes that are linked with others; classes: id, n and bands."""
 
     def near_in_size(x: str, y: str):
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
-    stars = buckets.where((F.col("id") != F.col("centre")) & (F.col("many") | near_in_size("n", "centre_n"))).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    first = common.materialize(compared(common.materialize(stars, "pairs"), df, size, doc_id, text), "compared")
+    slots = common.settled(F.col("bands"))
+    keys = classes.select("id", "n", slots.alias("bands")).select("id", "n", F.explode("bands").alias("key"))
+    centres = keys.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("m"), F.min_by("n", "id").alias("centre_n")).where("m > 1").select("key", "centre", "centre_n", (F.col("m") >= MANY).alias("many"))
+    buckets = scratch.table(keys.join(centres, "key"), "buckets")
+    at_centre = F.col("id") == F.col("centre")
+    stars = buckets.where(~at_centre & (F.col("many") | near_in_size("n", "centre_n"))).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    first = scratch.table(compared(scratch.table(stars, "pairs"), df, size, doc_id, text), "compared")
     linked = (100 * F.col("both") >= percent * F.col("either")).alias("linked")
-    roots = common.materialize(components(first.where(linked).select("a", "b")), "roots")
+    roots = scratch.table(components(first.where(linked).select("a", "b"), scratch), "roots")
     # what the distances to each bucket's centre leave open
     known = first.select(F.col("a").alias("centre"), F.col("b").alias("id"), (1 - F.col("both") / F.col("either")).alias("d"))
-    own = roots.select(F.col("node").alias("id"), "root")
-    rows = buckets.join(known, ["centre", "id"], "left").join(own, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    own = common.few(roots.select(F.col("node").alias("id"), "root"), MOST_BROADCAST)
+    main = common.few(roots.select(F.col("node").alias("centre"), F.col("root").alias("main")), MOST_BROADCAST)
+    rows = buckets.join(known, ["centre", "id"], "left").join(own, "id", "left").join(main, "centre", "left").withColumns({"root": F.coalesce("root", "id"), "main": F.coalesce("main", "centre"), "alone": F.col("d").isNull() & ~at_centre})
     by_size = 1 - F.least("n", "centre_n") / F.greatest("n", "centre_n")
-    at_centre = F.col("id") == F.col("centre")
-    rows = rows.withColumn("low", F.when(at_centre, 0.0).otherwise(F.coalesce("d", by_size))).withColumn("high", F.when(at_centre, 0.0).otherwise(F.coalesce("d", F.lit(1.0))))
-    main = own.select(F.col("id").alias("centre"), F.col("root").alias("main"))
-    rows = common.materialize(rows.join(main, "centre", "left").withColumn("main", F.coalesce("main", "centre")).select("key", "id", "n", "root", "main", "low", "high", "centre", "centre_n"), "open")
+    rows = rows.withColumns({"low": F.when(at_centre, 0.0).otherwise(F.coalesce("d", by_size)), "high": F.when(at_centre, 0.0).otherwise(F.coalesce("d", F.lit(1.0)))})
+    rows = scratch.table(rows.select("key", "id", "n", "root", "main", "low", "high", "centre", "centre_n", "alone"), "open")
     reach = 1 - percent / 100 + 1e-9
-    others = rows.where("root <> main").groupBy("key").agg(F.min("low").alias("nearest"), F.max("high").alias("farthest"))
-    left = rows.join(others, "key").where((F.col("root") != F.col("main")) | (F.col("nearest") - F.col("high") <= reach)).drop("main", "nearest", "farthest")
-    left = common.materialize(left, "left")
+    other = F.col("root") != F.col("main")
+    others = rows.groupBy("key").agg(F.min(F.when(other, F.col("low"))).alias("nearest"), F.max("alone").alias("some_alone")).where("nearest IS NOT NULL")
+    left = rows.join(others, "key").where(other | (F.col("nearest") - F.col("high") <= reach)).drop("main", "nearest", "alone")
+    left = scratch.table(left, "left")
     bounds = shareable(left.select("centre", "id").distinct(), first)
-    at_centre = F.col("id") == F.col("centre")
-    left = left.join(bounds, ["centre", "id"], "left").withColumn("base", F.coalesce("base", F.least("n", "centre_n"))).withColumn("extra", F.coalesce("extra", F.when(at_centre, 0).otherwise(F.col("n"))))
+    left = left.join(bounds, ["centre", "id"], "left").withColumn("base", F.coalesce("base", F.least("n", "centre_n")))
+    # `extra` counts what members share that were compared with the centre; beside others it is no bound
+    left = left.withColumn("extra", F.when(at_centre, 0).when(F.col("some_alone") | F.col("extra").isNull(), F.col("n") - F.when(F.col("extra").isNull(), 0).otherwise(F.col("base"))).otherwise(F.col("extra"))).drop("some_alone")
     left = left.withColumns({f"gone{k}": F.coalesce(F.get("gone", F.lit(k)), F.lit(0).cast("long")) for k in range(CELLS // 64)}).drop("gone", "centre")
-    left = common.materialize(left.where(100 * (F.col("base") + F.col("extra")) >= percent * F.col("n")), "left")  # else nothing of its size is near enough
-    x, y = (left.select("key", "centre_n", *(F.col(c).alias(f"{side}_{c}") for c in left.columns if c not in ("key", "centre_n"))) for side in "ab")
+    left = scratch.table(left.where(100 * (F.col("base") + F.col("extra")) >= percent * F.col("n")), "left")  # else nothing of its size is near enough
+    cells = tiled(left)
+    on = ("key", "t", "u", "centre_n")
+    x, y = (cells.select(*on, *(F.col(c).alias(f"{side}_{c}") for c in cells.columns if c not in on)) for side in "ab")
     y = y.drop("centre_n")
     lacking = sum((F.bit_count(F.col(f"a_gone{k}").bitwiseOR(F.col(f"b_gone{k}"))) for k in range(CELLS // 64)), F.lit(0))
     most = F.least("a_base", "b_base", F.col("centre_n") - lacking) + F.least("a_extra", "b_extra")
-    possible = (F.col("a_id") < F.col("b_id")) & (F.col("a_root") != F.col("b_root")) & (F.col("a_low") - F.col("b_high") <= reach) & (F.col("b_low") - F.col("a_high") <= reach) & near_in_size("a_n", "b_n") & ((100 + percent) * most >= percent * (F.col("a_n") + F.col("b_n")))
-    rest = x.join(y, "key").where(possible).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
-    rest = common.materialize(rest.join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    once = F.when(F.col("t") == F.col("u"), F.col("a_id") < F.col("b_id")).otherwise(F.col("a_side") < F.col("b_side"))
+    possible = once & (F.col("a_root") != F.col("b_root")) & (F.col("a_low") - F.col("b_high") <= reach) & (F.col("b_low") - F.col("a_high") <= reach) & near_in_size("a_n", "b_n") & ((100 + percent) * most >= percent * (F.col("a_n") + F.col("b_n")))
+    rest = x.join(y, ["key", "t", "u"]).where(possible).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
+    rest = scratch.table(rest.join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
-        second = compared(rest, df, size, doc_id, text).where(linked).select("a", "b")
-        second = common.materialize(second, "compared")
+        second = scratch.table(compared(rest, df, size, doc_id, text).where(linked).select("a", "b"), "compared")
         if not second.isEmpty():
-            roots = common.materialize(components(second.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b")))), "roots")
-    verdicts = classes.join(roots, classes["id"] == roots["node"], "left").select("set_a", "set_b", F.coalesce("root", "id").alias("root"), "id", "copies").where("copies > 1 OR root <> id").select("set_a", "set_b", "root")
-    verdicts = common.materialize(verdicts, "verdicts")
-    out = signed.withColumn("linkable", F.expr("n_shingles > 0 AND doc_id IS NOT NULL")).join(F.broadcast(verdicts) if verdicts.count() <= MOST_BROADCAST else verdicts, ["set_a", "set_b"], "left")
-    component = F.when(F.col("linkable"), F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+            roots = scratch.table(components(second.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))), scratch), "roots")
+    return roots
 
 
 def keep_one(df: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """df without the documents that have a near duplicate with a smaller id in their group, its columns as they were."""
-    gone = common.materialize(groups(df, size, percent, doc_id, text).where("NOT kept").select(F.col("doc_id").alias("_gone")), "copies")
-    few = gone.count() <= MOST_BROADCAST
-    return df.join(F.broadcast(gone) if few else gone, df[doc_id] == F.col("_gone"), "left_anti").select(*df.columns)
+    own = common.fresh(df, "gone")
+    gone = common.materialize(groups(df, size, percent, doc_id, text).where("NOT kept").select(F.col("doc_id").alias(own)), "copies")
+    return df.join(common.few(gone, MOST_BROADCAST), df[doc_id] == gone[own], "left_anti").select(*df.columns)
 
 
 def op7_near_dedup(spark, sf_dir):
