@@ -10,8 +10,13 @@ inserted or deleted by adding or subtracting its vector. The vector has two part
   Words end at any white space. In one of more than 12 bytes (or a text without spaces) further windows begin at places
   that its bytes define, at most 8 bytes apart, so the windows cover all of it.
 
+As vectors add up, a text of more than PIECE bytes is handled paragraph by paragraph; a single paragraph of that size takes
+about 40 bytes of memory per byte.
+
 Defined cases: a null text counts as empty; an empty text has the zero vector, which is like another empty one (1) and unlike
-all others (0); a null id sorts below all ids; rows with the same id are ordered by text; a single row is its own next one.
+all others (0); a null id sorts below all ids; rows with the same id are ordered by the hash of their text, then the text, so
+an id that many rows share is dealt into several parts; a single row is its own next one; an empty table has no rows;
+further columns are left out.
 """
 
 from __future__ import annotations
@@ -34,8 +39,10 @@ WIDE_SPACES = [chr(k).encode() for k in (0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 LEADS = np.isin(np.arange(256), [x[0] for x in WIDE_SPACES])
 WIDE_CODES = np.array([int.from_bytes(x, "little") for x in WIDE_SPACES], np.uint64)
 MASK = np.array([0] + [(1 << (8 * k)) - 1 for k in range(1, 9)], np.uint64)
+#: Bytes of text that are turned into vectors at once, but for longer paragraphs.
+PIECE = 8_000_000
 #: Parts into which the ids are cut: a few thousand rows each, at least and at most so many.
-PART_ROWS, LEAST_PARTS, MOST_PARTS = 2_000, 256, 50_000
+PART_ROWS, LEAST_PARTS, MOST_PARTS = 2_000, 256, 400_000
 
 
 def gaps(b: np.ndarray, view: np.ndarray) -> np.ndarray:
@@ -68,6 +75,8 @@ def inner_places(start: np.ndarray, end: np.ndarray, view: np.ndarray) -> np.nda
 
 def fingerprints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The two parts of each text's vector: uint64 (n, WIDE) and int32 (n, LANES)."""
+    if len(texts) == 1 and len(texts[0]) > PIECE and "\n" in texts[0]:
+        return in_pieces(texts[0])
     n = len(texts)
     wide, like = np.zeros((n, WIDE), np.uint64), np.zeros((n, LANES), np.int32)
     raw = [x.encode(errors="surrogatepass") for x in texts]
@@ -103,6 +112,19 @@ def fingerprints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return wide, sums.astype(np.int64).astype(np.int32)
 
 
+def in_pieces(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The vector of one long text: the sum of those of groups of its paragraphs."""
+    wide, like = np.zeros((1, WIDE), np.uint64), np.zeros((1, LANES), np.int32)
+    start = 0
+    while start < len(text):
+        end = text.rfind("\n", start, start + PIECE)
+        if end <= start and (end := text.find("\n", start + PIECE)) < 0:
+            end = len(text)
+        w, v = fingerprints([text[start:end].strip("\n")])
+        wide, like, start = wide + w, like + v, end + 1
+    return wide, like
+
+
 def pack(wide: np.ndarray, like: np.ndarray) -> list[str]:
     return [base64.b64encode(w.astype("<u8").tobytes() + v.astype("<i4").tobytes()).decode() for w, v in zip(wide, like, strict=True)]
 
@@ -136,20 +158,30 @@ def fingerprint(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 
 
 def parted(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, text (null as empty), ord (the id, a null one below all) and part: ranges of ord, ascending, cut at its quantiles."""
-    base = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("ord"))
-    ids = base.select("ord")
+    """doc_id, text (null as empty), ord (the id, a null one below all), mark (a hash of the text, by which rows of one id are
+    ordered) and part: ranges of (ord, mark), ascending, cut at the quantiles of ord. An id that spans several quantiles is
+    cut by mark."""
+    base = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    base = base.select("*", F.coalesce("doc_id", F.lit(-(2**63))).alias("ord"), F.xxhash64("text").alias("mark"))
+    ids = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("ord"))
     n = min(MOST_PARTS, max(LEAST_PARTS, ids.count() // PART_ROWS))
     limits = ids.agg(F.percentile_approx("ord", [k / n for k in range(1, n)], 4 * n).alias("q")).head()["q"] or []
-    limits = np.unique(np.array(limits, np.int64))
+    limits = np.array(limits, np.int64)
 
     @F.pandas_udf("int")
-    def part_of(x):
+    def part_of(ord, mark):
         import pandas as pd
 
-        return pd.Series(np.searchsorted(limits, x.to_numpy(), side="right").astype(np.int32))
+        return pd.Series(parts_of(limits, ord.to_numpy(), mark.to_numpy()))
+
+    return base.withColumn("part", part_of("ord", "mark"))
+
 
-    return base.withColumn("part", part_of("ord"))
+def parts_of(limits: np.ndarray, ord: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """The part of each row; limits ascend, and a value that occurs r times among them has its rows cut into r parts."""
+    low, high = np.searchsorted(limits, ord, side="left"), np.searchsorted(limits, ord, side="right")
+    share = np.minimum((mark.astype(float) + 2.0**63) / 2.0**64, np.nextafter(1, 0))
+    return np.where(high - low > 1, low + 1 + (share * (high - low)).astype(np.int64), high).astype(np.int32)
 
 
 def in_parts(df: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -157,12 +189,12 @@ def in_parts(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     (`tail`). No task holds more than a few parts."""
     spark = df.sparkSession
     rows = parted(df, doc_id, text)
-    ends = sorted(tuple(r) for r in rows.groupBy("part").agg(F.max("ord")).collect())  # at most MOST_PARTS rows
-    follow = [(part, ends[k - 1][1]) for k, (part, _) in enumerate(ends)]
-    heads = F.broadcast(spark.createDataFrame([(hi,) for _, hi in ends], "ord long"))
-    texts = rows.select("ord", "text").join(heads, "ord").groupBy("ord").agg(F.max("text").alias("text"))
-    tails = texts.join(F.broadcast(spark.createDataFrame(follow, "part int, ord long")), "ord").select(F.lit(None).cast("long").alias("doc_id"), "text", "ord", "part", F.lit(True).alias("tail"))
-    return rows.withColumn("tail", F.lit(False)).unionByName(tails).repartition("part").sortWithinPartitions("part", "tail", F.desc("ord"), F.desc("text"))
+    ends = sorted(tuple(r) for r in rows.groupBy("part").agg(F.max(F.struct("ord", "mark")).alias("end")).select("part", "end.*").collect())  # at most MOST_PARTS rows
+    follow = [(part, *ends[k - 1][1:]) for k, (part, *_) in enumerate(ends)]
+    heads = F.broadcast(spark.createDataFrame([e[1:] for e in ends], "ord long, mark long"))
+    texts = rows.select("ord", "mark", "text").join(heads, ["ord", "mark"]).groupBy("ord", "mark").agg(F.max("text").alias("text"))
+    tails = texts.join(F.broadcast(spark.createDataFrame(follow, "part int, ord long, mark long")), ["ord", "mark"]).select(F.lit(None).cast("long").alias("doc_id"), "text", "ord", "mark", "part", F.lit(True).alias("tail"))
+    return rows.withColumn("tail", F.lit(False)).unionByName(tails).repartition("part").sortWithinPartitions("part", "tail", F.desc("ord"), F.desc("mark"), F.desc("text"))
 
 
 def edit_digests(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
