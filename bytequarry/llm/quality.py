@@ -5,7 +5,9 @@ and shrunk by a small rate, add up to one lookup table per feature. The pairs wh
 grid then get tables of their own in the same way. A score is the logistic function of the sum of looked-up values.
 
 Defined cases: a null text counts as empty; an empty text has features of 0 and a score like any other; without labelled
-rows of both classes the score is the share of the class there is (0.5 without any); repeated rows score alike.
+rows of both classes the score is the share of the class there is (0.5 without any); repeated rows score alike; a row
+without id is held out; an empty table has no scores; further columns are left out, whatever their names. A very long text is
+read whole; its words take about 60 bytes of memory each.
 """
 
 from __future__ import annotations
@@ -79,10 +81,6 @@ def _limits(x: np.ndarray, bins: int) -> np.ndarray:
     return np.unique(np.quantile(x, np.linspace(0, 1, bins + 1)[1:-1]))
 
 
-def _leaf(g: np.ndarray, h: np.ndarray, ridge: float) -> np.ndarray:
-    return g / (h + ridge)
-
-
 def _tree(g: np.ndarray, h: np.ndarray, ridge: float, leaves: int) -> np.ndarray:
     """Values per bin of a tree with so many leaves, split where the gain is largest; g, h: sums over the rows of each bin."""
     parts = [(0, len(g))]

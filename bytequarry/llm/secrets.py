@@ -5,7 +5,8 @@ trigrams of a block of documents are indexed, the queries are answered by inters
 candidates are verified with the rule itself. A rule without mandatory trigrams scans every document.
 
 Defined cases: a null text counts as empty; an empty text has no spans and the digest of the empty string; repeated rows
-each get their own result; further columns are ignored.
+each get their own result; an empty table has no rows; further columns are left out, whatever their names. A very long text
+is scanned whole, its trigrams in slices.
 """
 
 from __future__ import annotations
@@ -58,6 +59,8 @@ RULES = BASE + EXTRA
 
 #: Alternatives tracked at once while literals are enumerated; beyond that a rule's query is merely weaker.
 MOST_ALTERNATIVES = 64
+#: Bytes whose trigrams are looked up at once.
+SLICE = 4_000_000
 
 
 def trigram_query(pattern: str) -> list[list[frozenset[bytes]]]:
@@ -128,15 +131,19 @@ class Scanner:
             self.mark[g[0] << 16 | g[1] << 8 | g[2]] = k
 
     def postings(self, texts: list[str]) -> dict[int, np.ndarray]:
-        """Trigram number to the sorted documents that hold it."""
+        """Trigram number to the sorted documents that hold it. Bytes are looked up in slices of SLICE."""
         raw = [x.encode(errors="surrogatepass").lower() for x in texts]
         ends = np.cumsum([len(x) + 2 for x in raw])
-        b = np.frombuffer(b"\0\0".join(raw), np.uint8).astype(np.int32)
-        if len(b) < 3 or not self.number:
+        body = np.frombuffer(b"\0\0".join(raw), np.uint8)
+        if len(body) < 3 or not self.number:
             return {}
-        code = self.mark[(b[:-2] << 16) | (b[1:-1] << 8) | b[2:]]
-        at = np.flatnonzero(code)
-        pairs = np.unique(code[at].astype(np.int64) << 32 | np.searchsorted(ends, at, side="right"))
+        found = []
+        for start in range(0, len(body) - 2, SLICE):
+            b = body[start : start + SLICE + 2].astype(np.int32)
+            code = self.mark[(b[:-2] << 16) | (b[1:-1] << 8) | b[2:]]
+            at = np.flatnonzero(code)
+            found.append(np.unique(code[at].astype(np.int64) << 32 | np.searchsorted(ends, at + start, side="right")))
+        pairs = np.unique(np.concatenate(found))
         gram, doc = pairs >> 32, pairs & 0xFFFFFFFF
         cut = np.flatnonzero(np.diff(gram)) + 1
         return {int(g[0]): d for g, d in zip(np.split(gram, cut), np.split(doc, cut), strict=True) if len(g)}
