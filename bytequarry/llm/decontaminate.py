@@ -2,17 +2,20 @@
 
 Numbers, units after numbers, and names become typed placeholders. The hashes of all windows of WINDOW template tokens of a
 document are joined with those of the benchmark's items. Matches of a document, an item and a distance between their
-places (a shift) are one alignment. An alignment counts if it covers enough of the item and if its slots are consistent:
-within it, equal slot values of the item stand for equal values of the document. So re-parameterised questions are caught
-as well. Inserted or deleted tokens change the shift: shifts at most BAND apart are also taken together, each place of the
+places (a shift) are one alignment. An alignment counts if the places of the item that its windows cover are enough and if its
+slots are consistent: there, equal slot values of the item stand for equal values of the document, and the other way
+round. Places between its windows differ from the item and don't count. So re-parameterised questions are caught as well. Inserted or deleted tokens change the shift: shifts at most BAND apart are also taken together, each place of the
 item at the shift of its longest run. Where runs meet, a slot may be cut off ('Anna' and 'Anna Maria') and isn't compared.
 QUOTE equal plain words in a row count by themselves.
 
-Items of fewer than WINDOW tokens are compared as a whole with the windows of their length. An item's first token matches
-as a word and, if it is capitalised, as a name.
+Items of fewer than WINDOW tokens are compared as a whole with the windows of their length, in the same pass; those of fewer
+than LEAST_TOKENS occur in any prose and match only a document that consists of nothing else. An item's first token
+matches as a word and, if it is capitalised, as a name.
 
-Defined cases: a null or empty text has no windows and is clean; null or empty items match nothing; repeated documents each
-get a result; repeated items are reported by each of their ids; further columns are ignored.
+Defined cases: a null or empty text has no windows and is clean; null or empty items match nothing; a row without id has no
+result in `leaks` and stays in `clean`; repeated documents each get a result; repeated items are reported by each of their
+ids; empty tables have no leaks; further columns are left out, and kept by `clean` whatever their names. The tokens of a
+very long text take about 100 bytes of memory each while they are one row.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ WINDOW = 8
 COVER, LONG_RUN = 0.6, 25
 #: Tokens of an alignment that aren't placeholders, at least, so that templates alone don't match; not asked of verbatim copies.
 LEAST_WORDS = 4
+#: Tokens of an item that may be found within other text, at least.
+LEAST_TOKENS = 4
 #: Shifts up to so far apart are joined; so many plain words in a row are a quote.
 BAND, QUOTE = 8, 13
 #: Benchmark windows up to which they are broadcast; more are joined by a shuffle.
@@ -74,32 +79,43 @@ def windows(df: DataFrame, column: str, size: int) -> DataFrame:
     return df
 
 
-def exploded(df: DataFrame, ids: list[str], size: int) -> DataFrame:
-    made = windows(df.select(*ids, "h"), "h", size).withColumn("h", common.settled(F.col("h")))
-    return made.select(*ids, F.posexplode("h").alias("at", "key"))
+def exploded(df: DataFrame, ids: list[str], sizes: list[int]) -> DataFrame:
+    """ids, at, key and size of the windows of each of the sizes; h: token hashes. The rows are read once."""
+    if len(sizes) == 1:
+        made = windows(df.select(*ids, "h"), "h", sizes[0]).withColumn("h", common.settled(F.col("h")))
+        return made.select(*ids, F.posexplode("h").alias("at", "key"), F.lit(sizes[0]).alias("size"))
+    df = df.select(*ids, common.settled(F.col("h")).alias("h"))
+    cells = []
+    for size in sizes:
+        df = windows(df.withColumn(f"h{size}", F.col("h")), f"h{size}", size)
+        cells.append(F.transform(F.col(f"h{size}"), lambda key, at: F.struct(at.alias("at"), key.alias("key"), F.lit(size).alias("size"))))  # noqa: B023  called at once
+    made = df.select(*ids, common.settled(F.concat(*cells)).alias("cells"))
+    return made.select(*ids, F.explode("cells").alias("cell")).select(*ids, "cell.*")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: float = COVER, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id") -> DataFrame:
     """doc_id, item_id, from, to (token places in the document), n_tokens and slots of every alignment that counts."""
-    raw_docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).select("doc_id", common.settled(tokens(F.col("text"))).alias("raw"))
+    raw_docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL").select("doc_id", common.settled(tokens(F.col("text"))).alias("raw"))
     items = common.materialize(benchmark.select(F.col(item_id).alias("item_id"), common.settled(tokens(F.col(text))).alias("item_raw")).withColumn("h", hashes(F.col("item_raw"))).where(F.size("h") > 0), "benchmark")
-    hashed_docs = raw_docs.select("doc_id", hashes(F.col("raw")).alias("h"))
-    found = None
+    hashed_docs = raw_docs.select("doc_id", F.size("raw").alias("doc_tokens"), hashes(F.col("raw")).alias("h"))
     short = [r[0] for r in items.where(F.size("h") < window).select(F.size("h")).distinct().collect()]  # at most window - 1 sizes
-    for size in [window, *sorted(short, reverse=True)]:
+    sizes, keys = [window, *sorted(short, reverse=True)], None
+    for size in sizes:
         own = items.where(F.size("h") >= window if size == window else F.size("h") == size)
         first = own.where(F.get("item_raw", F.lit(0)).rlike(r"^\p{Lu}\p{Ll}")).withColumn("h", F.concat(F.array(F.xxhash64(F.lit(NAME))), F.slice("h", 2, F.size("h"))))
-        plain, named = (exploded(x.select("item_id", F.size("h").alias("length"), "h"), ["item_id", "length"], size).withColumnRenamed("at", "item_at") for x in (own, first))
-        keys = plain.unionByName(named.where("item_at = 0"))
-        few = keys.count() <= MOST_BROADCAST
-        part = exploded(hashed_docs, ["doc_id"], size).join(F.broadcast(keys) if few else keys, "key").withColumn("size", F.lit(size))
-        found = part if found is None else found.unionByName(part)
+        plain, named = (exploded(x.select("item_id", F.size("h").alias("length"), "h"), ["item_id", "length"], [size]).withColumnRenamed("at", "item_at") for x in (own, first))
+        part = plain.unionByName(named.where("item_at = 0"))
+        keys = part if keys is None else keys.unionByName(part)
+    # beyond the bound both sides are dealt by (key, size), and adaptive execution splits a key that many documents hold
+    found = exploded(hashed_docs, ["doc_id", "doc_tokens"], sizes).join(common.few(keys.distinct(), MOST_BROADCAST), ["key", "size"])
+    found = found.where((F.col("length") >= LEAST_TOKENS) | (F.col("doc_tokens") == F.col("length")))
     shift = (F.col("at") - F.col("item_at")).alias("shift")
-    runs = found.groupBy("doc_id", "item_id", "length", "size", shift).agg(F.min("item_at").alias("lo"), (F.max("item_at") + F.first("size")).alias("hi"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("item_at")).alias("ats"))
+    runs = found.groupBy("doc_id", "item_id", "length", "size", shift).agg(F.sort_array(F.collect_set("item_at")).alias("ats"))
     runs = common.materialize(runs.withColumn("parts", parts(F.col("ats"), F.col("size"), F.col("shift"))).drop("ats"), "runs")
-    covered = F.least(F.col("hi") - F.col("lo"), F.col("n") * F.col("size"))
+    covered = F.aggregate("parts", F.lit(0), lambda n, x: n + x["n"])  # runs of one shift never meet
     enough = (covered >= F.ceil(cover * F.col("length"))) | (covered >= LONG_RUN)
-    one = F.transform(F.sequence("lo", F.col("hi") - 1), lambda p: F.struct(p.alias("p"), F.col("shift").alias("shift"), F.lit(False).alias("joint")))
+    inside = F.flatten(F.transform("parts", lambda x: F.sequence(x["lo"], x["hi"] - 1)))
+    one = F.transform(inside, lambda p: F.struct(p.alias("p"), F.col("shift").alias("shift"), F.lit(False).alias("joint")))
     single = runs.withColumn("enough", enough).where(F.col("enough") | F.exists("parts", lambda x: x["n"] >= QUOTE)).select("doc_id", "item_id", one.alias("places"), "enough")
     band = F.floor(F.col("shift") / BAND)
     chains = runs.withColumn("band", F.explode(F.array(band, band - 1))).groupBy("doc_id", "item_id", "length", "band").agg(F.flatten(F.collect_list("parts")).alias("parts"), F.countDistinct("shift").alias("n_shifts")).where("n_shifts > 1")
@@ -126,9 +142,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: fl
     pairs = F.filter("cells", lambda c: c["slot"] & ~c["joint"])
     slots = F.array_distinct(F.transform(pairs, lambda c: F.struct(c["a"], c["b"])))
     values = F.array_distinct(F.transform(pairs, lambda c: c["a"]))
+    ours = F.array_distinct(F.transform(pairs, lambda c: c["b"]))
     words = F.size(F.filter("cells", lambda c: ~c["slot"]))
     verbatim = F.forall("cells", lambda c: ~c["slot"] | (c["a"] == c["b"]))
-    whole = F.col("enough") & (F.size(slots) == F.size(values)) & ((words >= LEAST_WORDS) | (words >= F.size("item_raw")) | verbatim)
+    whole = F.col("enough") & (F.size(slots) == F.size(values)) & (F.size(slots) == F.size(ours)) & ((words >= LEAST_WORDS) | (words >= F.size("item_raw")) | verbatim)
     checked = aligned.where(whole | (longest_quote(F.col("cells")) >= QUOTE))
     ends = F.transform("places", lambda x: x["p"] + x["shift"])
     return checked.select("doc_id", "item_id", F.array_min(ends).cast("long").alias("from"), (F.array_max(ends) + 1).cast("long").alias("to"), F.size("places").cast("long").alias("n_tokens"), F.size(values).cast("long").alias("slots")).distinct()
@@ -168,10 +185,11 @@ def leaked_ids(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     return leaks(docs, benchmark, **options).groupBy("doc_id").agg(F.countDistinct("item_id").alias("n_items"), F.min("item_id").alias("first_item"), F.max("n_tokens").alias("n_tokens"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """The documents without a leak, their columns as they were."""
-    bad = common.materialize(leaked_ids(docs, benchmark, **options).select("doc_id"), "leaked")
-    return docs.join(F.broadcast(bad) if bad.count() <= MOST_BROADCAST else bad, "doc_id", "left_anti").select(*docs.columns)
+    own = common.fresh(docs, "leaked_id")
+    bad = common.materialize(leaked_ids(docs, benchmark, doc_id=doc_id, **options).select(F.col("doc_id").alias(own)), "leaked")
+    return docs.join(common.few(bad, MOST_BROADCAST), docs[doc_id] == bad[own], "left_anti").select(*docs.columns)
 
 
 def op8_decontaminate(spark, sf_dir):
