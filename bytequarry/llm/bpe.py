@@ -7,8 +7,13 @@ rank of all words is the lowest of each word that holds it, this equals merging
 a pair of a lower rank than its own (a symbol that several merges produce), only the leftmost position of each word is
 merged before the heap is asked again, so that case is exact as well.
 
-Words that occurred before are looked up. Defined cases: a null text counts as empty; an empty text has no tokens and the
-digests of the empty string; the strings of special tokens become those tokens; lone surrogates can't occur in Spark.
+Each distinct word of a block is looked up once, by a dictionary encoding, and those that occurred before aren't merged
+again. Decoding takes the ids of whole texts and spells each.
+
+Defined cases: a null text counts as empty; an empty text has no tokens and the digests of the empty string; the strings of
+special tokens become those tokens; lone surrogates can't occur in Spark; repeated rows get the same result; a row without
+id is kept; an empty table has no rows; further columns are left out, whatever their names. A very long text is encoded as
+a whole, which takes about 40 bytes of memory per byte.
 """
 
 from __future__ import annotations
@@ -17,16 +22,19 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from array import array
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 from . import common
 
-#: Words remembered by a worker; beyond that the oldest half goes.
+#: Words remembered by a worker, in two generations; those not used since the younger one began go first.
 MOST_WORDS = 300_000
 
 
@@ -79,10 +87,12 @@ class WordBPE:
         self.last = np.array([self.vocab.get(c + self.suffix, -1) for c in alphabet])
         self.split = regex.compile(next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"])
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        #: Of each id, its decimal digits and its token in UTF-8.
-        self.digits = [str(i).encode() for i in range(n)]
-        self.spelled = [self.name.get(i, "").encode() for i in range(n)]
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        #: Of each id, its decimal digits and its token.
+        self.digits = pa.array([str(i) for i in range(n)])
+        self.spelled = pa.array([self.name.get(i) for i in range(n)], pa.string())
+        #: Of each word, its ids as int32.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair, or -1."""
@@ -172,44 +182,64 @@ class WordBPE:
             return
         parts = list(map(self.pieces, self.normalized(" ".join(chunks)).split(" ")))
         words = list(set(chain.from_iterable(parts)))
-        digits, names = self.digits, self.spelled
-        coded = {w: (b" ".join([digits[i] for i in ids]), b" ".join([names[i] for i in ids])) for w, ids in zip(words, self.merge([w.encode() for w in words]), strict=True)}
-        known = self.known
-        for x, p in zip(chunks, parts, strict=True):
-            if len(p) == 1:
-                known[x] = coded[p[0]]
-            else:
-                got = [coded[w] for w in p]
-                known[x] = (b" ".join([g[0] for g in got]), b" ".join([g[1] for g in got]))
-
-    def encode_block(self, texts: list[str]) -> list[tuple[int, bytes, bytes]]:
-        """For each text: tokens, decimal ids joined by a space, and the decoded text, both in bytes."""
-        rows = []
-        for x in texts:
-            if self.cut and "<|" in x:
-                row = [p if p in self.special else regex.split(r"\s+", p) for p in self.cut.split(x)]
-                rows.append([c for p in row for c in ([p] if isinstance(p, str) else p) if c])
-            elif any(c in x for c in NOT_SPACE):
-                rows.append([c for c in regex.split(r"\s+", x) if c])
-            else:
-                rows.append(x.split())
-        new = set().union(*rows) if rows else set()
-        if len(self.known) + len(new) > MOST_WORDS:
-            self.known = {x: self.known[x] for x in new if x in self.known}
-        new = {x for x in new if x not in self.known}
-        for x in new & self.special.keys():
-            self.known[x] = (str(self.special[x]).encode(), x.encode())
-        self.learn(list(new - self.special.keys()))
-        out, known = [], self.known
-        for row in rows:
-            got = [v for c in row if (v := known[c])[0]]
-            ids = b" ".join([v[0] for v in got])
-            out.append((ids.count(b" ") + 1 if ids else 0, ids, b" ".join([v[1] for v in got])))
-        return out
+        coded = {w: array("i", ids).tobytes() for w, ids in zip(words, self.merge([w.encode() for w in words]), strict=True)}
+        self.known.update((x, coded[p[0]] if len(p) == 1 else b"".join([coded[w] for w in p])) for x, p in zip(chunks, parts, strict=True))
+
+    def _lookup(self, chunks: list[str]) -> list[bytes]:
+        """The ids of distinct chunks."""
+        if len(self.known) > MOST_WORDS // 2:
+            self.older, self.known = self.known, {}
+        known, older, new = self.known, self.older, []
+        for c in chunks:
+            if c not in known:
+                if c in older:
+                    known[c] = older[c]
+                elif c in self.special:
+                    known[c] = array("i", [self.special[c]]).tobytes()
+                else:
+                    new.append(c)
+        self.learn(new)
+        return [known[c] for c in chunks]
+
+    def _split(self, text: str) -> list[str]:
+        if self.cut and any(s in text for s in self.special):
+            row = [[p] if p in self.special else regex.split(r"\s+", p) for p in self.cut.split(text)]
+            return [c for p in row for c in p if c]
+        if any(c in text for c in NOT_SPACE):
+            return [c for c in regex.split(r"\s+", text) if c]
+        return text.split()
+
+    def ids_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another (int32), and where each text's begin, with the end of the last."""
+        rows = list(map(self._split, texts))
+        coded = pa.array(list(chain.from_iterable(rows)), pa.large_string()).dictionary_encode()
+        ids = pa.array(self._lookup(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        _, ends, body = ids.buffers()
+        starts = np.frombuffer(ends, np.int64)[np.cumsum([0, *map(len, rows)])] // 4 if len(ids) else np.zeros(len(texts) + 1, np.int64)
+        return np.frombuffer(body, np.int32)[: int(starts[-1])] if body else np.empty(0, np.int32), starts
+
+    def _joined(self, names: pa.Array, ids: np.ndarray, starts: np.ndarray) -> list[str]:
+        """The names of each text's ids, joined by spaces; ids without a name are left out."""
+        got = names.take(pa.array(ids))
+        if got.null_count:
+            there = got.is_valid().to_numpy(zero_copy_only=False)
+            starts, got = np.concatenate(([0], np.cumsum(there)))[starts], got.drop_null()
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), got), " ").to_pylist()
+
+    def decode_block(self, ids: np.ndarray, starts: np.ndarray) -> list[str]:
+        """As the library decodes without a decoder: the tokens joined by spaces."""
+        return self._joined(self.spelled, ids, starts)
 
     def decode(self, ids: list[int]) -> str:
-        """As the library decodes without a decoder: the tokens joined by spaces; unknown ids are left out."""
-        return " ".join(self.name[i] for i in ids if i in self.name)
+        """The text of one list of ids; unknown ids are left out."""
+        known = np.array([i for i in ids if 0 <= i < self.n], np.int32)
+        return self.decode_block(known, np.array([0, len(known)]))[0]
+
+    def encode_block(self, texts: list[str]) -> list[tuple[int, bytes, bytes]]:
+        """For each text: tokens, decimal ids joined by a space, and the text decoded from the ids, both in bytes."""
+        ids, starts = self.ids_of(texts)
+        told, decoded = self._joined(self.digits, ids, starts), self.decode_block(ids, starts)
+        return [(n, x.encode(), y.encode()) for n, x, y in zip(np.diff(starts).tolist(), told, decoded, strict=True)]
 
 
 _encoders: dict[str, WordBPE] = {}
@@ -230,13 +260,11 @@ def default_path() -> str:
 
 def encode(df: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ids (array of int) and decoded text of each whole document."""
-    import pyarrow as pa
-
     path = path or default_path()
 
     def work(texts: list[str]) -> dict[str, object]:
-        rows = encoder(path).encode_block(texts)
-        return {"ids": pa.array([[int(i) for i in ids.split()] for _, ids, _ in rows], pa.list_(pa.int32())), "decoded": [d.decode() for _, _, d in rows]}
+        ids, starts = encoder(path).ids_of(texts)
+        return {"ids": pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids)), "decoded": encoder(path).decode_block(ids, starts)}
 
     return common.map_blocks(df, "ids array<int>, decoded string", work, doc_id, text)
 
