@@ -11,8 +11,24 @@ from pyspark.sql import functions as F
 
 from ..schema import VERSION_PATTERN
 
-#: What to do about a broken invariant.
-ACTIONS = {"PHYSICAL_GRAPH_ORPHAN": "run repair after restoring missing rows", "PHYSICAL_GRAPH_REFCOUNT_MISMATCH": "run repair ref-counts", "PHYSICAL_GRAPH_NEGATIVE_REFCOUNT": "run repair ref-counts", "SNAPSHOT_GRAPH_ORPHAN": "inspect the snapshot before any cleanup"}
+#: Codes of broken invariants.
+PHYSICAL, PHYSICAL_ORPHAN, PHYSICAL_COUNT, PHYSICAL_NEGATIVE = "PHYSICAL_GRAPH_INTEGRITY", "PHYSICAL_GRAPH_ORPHAN", "PHYSICAL_GRAPH_REFCOUNT_MISMATCH", "PHYSICAL_GRAPH_NEGATIVE_REFCOUNT"
+SNAPSHOT, SNAPSHOT_ORPHAN, SNAPSHOT_LIFECYCLE = "SNAPSHOT_GRAPH_INTEGRITY", "SNAPSHOT_GRAPH_ORPHAN_LOGICAL_REF", "SNAPSHOT_GRAPH_INVALID_LIFECYCLE"
+GC_REFUSED, REPAIR_REFUSED, RETAINED = "GC_REFUSED_INTEGRITY", "REPAIR_REFUSED_ORPHAN_ROWS", "SNAPSHOT_RETAINED_DELETE_BLOCKED"
+#: What to do about them, in this engine's words.
+ACTIONS = (
+    dict.fromkeys((PHYSICAL, PHYSICAL_ORPHAN, PHYSICAL_COUNT, PHYSICAL_NEGATIVE, GC_REFUSED), "repair the reference counts, then verify again")
+    | dict.fromkeys((SNAPSHOT, SNAPSHOT_ORPHAN, SNAPSHOT_LIFECYCLE), "look into the snapshots concerned, remove or recreate them, then verify again")
+    | {REPAIR_REFUSED: "resolve the physical rows without a file first; counts can't be repaired before", RETAINED: "delete the snapshots that hold the file first"}
+)
+
+
+class InvariantError(AssertionError):
+    """A broken invariant with its code and what to do."""
+
+    def __init__(self, code: str, message: str):
+        super().__init__(message)
+        self.code, self.action = code, ACTIONS.get(code, "")
 
 
 def glob_regex(pattern: str) -> str:
@@ -84,19 +100,39 @@ def version_bucket(version: Column) -> Column:
     return F.when(well_formed_version(version), F.trim(version)).otherwise("unknown")
 
 
+def version_state(version: Column, known: tuple[str, ...]) -> Column:
+    """empty, malformed, unknown (well formed, but of no chunker here: fine for a restore) or known."""
+    v = F.trim(F.coalesce(version, F.lit("")))
+    return F.when(v == "", "empty").when(~v.rlike(VERSION_PATTERN), "malformed").when(~v.isin(*known), "unknown").otherwise("known")
+
+
+def thousands(n: Column) -> Column:
+    return F.format_number(n, 0)
+
+
+def readable(size: Column) -> Column:
+    """Bytes as B, KB, MB or GB with two places."""
+    out = F.concat(size.cast("string"), F.lit(" B"))
+    for power, unit in ((10, "KB"), (20, "MB"), (30, "GB")):
+        out = F.when(size >= 1 << power, F.concat(F.format_number(size / (1 << power), 2), F.lit(f" {unit}"))).otherwise(out)
+    return out
+
+
 def ratio(part: Column, whole: Column, scale: float = 1.0) -> Column:
     return F.when(whole > 0, part.cast("double") / whole.cast("double") * scale).otherwise(0.0)
 
 
 def restore_target(path: Column, mode: str = "original", to: str = "") -> Column:
     """Where a file is restored: its own place, below a prefix, or at one given path."""
+    if mode not in ("original", "prefix", "override"):
+        raise ValueError(f"unknown mode {mode}")
+    if (mode == "original") != (not to.strip()):
+        raise ValueError("a destination goes with the modes prefix and override")
     if mode == "original":
         return path
     if mode == "prefix":
-        return F.concat(F.lit(to.rstrip("/") + "/"), F.regexp_replace(path, "^/+", ""))
-    if mode == "override":
-        return F.lit(to)
-    raise ValueError(f"unknown mode {mode}")
+        return F.concat(F.lit(to.strip().rstrip("/") + "/"), F.regexp_replace(path, r"^[/\\]+", ""))
+    return F.lit(os.path.normpath(to.strip()))
 
 
 def parse_bound(value: str, upper: bool = False) -> int:

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars
 from ..repository import Repository
-from ..schema import COMPLETED, HEADER_SIZE
+from ..schema import COMPLETED, HEADER_SIZE, schema
 
 
 def _found(df: DataFrame, check: str, entity: Column, detail: Column | None = None) -> DataFrame:
@@ -156,18 +157,39 @@ def file_verdicts(repo: Repository) -> DataFrame:
     return f.select(F.col("logical_file_id").alias("id"), verdict.alias("verdict"))
 
 
+def physical_graph(repo: Repository) -> DataFrame:
+    """One row: orphans, mismatched and negative counts, and the code of the broken invariant: that of the only kind there is,
+    or the general one; null if all is well."""
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    row = n(orphan_physical(repo), "orphans").crossJoin(n(refcount(repo), "mismatches")).crossJoin(n(negative_refcount(repo), "negatives"))
+    kinds = sum(((F.col(c) > 0).cast("int") for c in row.columns), F.lit(0))
+    code = F.when(kinds > 1, scalars.PHYSICAL).when(F.col("orphans") > 0, scalars.PHYSICAL_ORPHAN).when(F.col("mismatches") > 0, scalars.PHYSICAL_COUNT).when(F.col("negatives") > 0, scalars.PHYSICAL_NEGATIVE)
+    return row.withColumn("code", code)
+
+
+def shown(findings: DataFrame, most: int = 50) -> DataFrame:
+    """The first `most` findings of each check by entity, and how many the check has."""
+    total = findings.groupBy("check").agg(F.count(F.lit(1)).alias("total"))
+    place = F.row_number().over(Window.partitionBy("check").orderBy("entity_id", "detail"))
+    return findings.withColumn("place", place).where(F.col("place") <= most).join(F.broadcast(total), "check")
+
+
 STANDARD: tuple[Callable[[Repository], DataFrame], ...] = (block_cardinality, chunk_refcount, orphan_chunks, pinned_status, pinned_blocks, empty_versions, snapshot_duplicates, snapshot_paths, snapshot_logical, snapshot_lifecycle, retained_without_chunks, orphan_physical, refcount, negative_refcount, files_without_chunks, chunk_order)
 FULL = (*STANDARD, container_files, sealed_hash, block_status, contiguity, sealed_incomplete)
 DEEP = (*FULL, trailing)
 LEVELS = {"standard": STANDARD, "full": FULL, "deep": DEEP}
 
 
-def verify(repo: Repository, level: str = "standard") -> DataFrame:
-    """All findings of a level with the place of their check."""
+def verify(repo: Repository, level: str = "standard", key: bytes | None = None) -> DataFrame:
+    """All findings of a level with the place of their check. The deep level reads the blocks if the repository has payloads."""
     out = None
     for k, audit in enumerate(LEVELS[level]):
         df = audit(repo).withColumn("step", F.lit(k).cast("long"))
         out = df if out is None else out.unionByName(df)
+    if level == "deep" and "block_payload" in repo.tables:
+        from .restore import blocks_deep
+
+        out = out.unionByName(blocks_deep(repo, key).withColumn("step", F.lit(len(DEEP)).cast("long")))
     return out
 
 
@@ -180,3 +202,19 @@ def doctor(repo: Repository, level: str = "standard") -> DataFrame:
     """One row: status, findings, and the first check that failed."""
     v = verify(repo, level).agg(F.count(F.lit(1)).alias("findings"), F.min(F.struct("step", "check")).alias("first"))
     return v.select(F.when(F.col("findings") > 0, "error").otherwise("ok").alias("status"), "findings", F.coalesce("first.check", F.lit("")).alias("first_check"))
+
+
+def examined(repo: Repository, level: str = "standard", key: bytes | None = None) -> dict[str, object]:
+    """Recovery, schema and verification, one after another; a failure ends it. What recovery did, the phases' states, the
+    findings by check, and the repository after recovery."""
+    from . import maintenance
+
+    out: dict[str, object] = {"recovery": maintenance.recovery_report(repo).head().asDict(), "recovery_status": "ok", "schema_status": "skipped", "verify_status": "skipped"}
+    out["repository"] = repo = maintenance.recover(repo)
+    wrong = [n for n, df in repo.tables.items() if [f.name for f in df.schema] != schema(n).names]
+    out["schema_status"] = "error" if wrong else "ok"
+    if wrong:
+        return out | {"wrong_tables": sorted(wrong)}
+    found = {r["check"]: r["n"] for r in verify(repo, level, key).groupBy("check").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each check
+    out |= {"findings": found, "verify_status": "error" if found else "ok"}
+    return out if found else out | {"physical": physical_graph(repo).head().asDict()}

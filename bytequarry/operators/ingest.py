@@ -8,9 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import codecs
-from ..functions.cdc import Profile, chunked
-from ..schema import DEFAULT_CONTAINER_MAX, HEADER_SIZE
+from ..functions import codecs, datasets
+from ..functions.cdc import PROFILES, Profile, chunked
+from ..schema import AES_OVERHEAD, DEFAULT_CONTAINER_MAX, HEADER_SIZE, PLAIN, V1, V2
 
 
 def file_chunks(files: DataFrame, profile: Profile, key: str = "file_id", content: str = "content") -> DataFrame:
@@ -25,9 +25,11 @@ def dedup(rows: DataFrame, known: DataFrame, order: str, content_hash: str, size
     return g.join(there, [content_hash, size], "left").withColumn("reused", F.coalesce("reused", F.lit(False)))
 
 
-def packed(blocks: DataFrame, group: str, order: str, size: str, most: int = DEFAULT_CONTAINER_MAX) -> DataFrame:
+def packed(blocks: DataFrame, group: str, order: str, size: str, most: int = DEFAULT_CONTAINER_MAX, begun: dict[int, int] | None = None) -> DataFrame:
     """Next-fit: group, order, size, container_no and block_offset. A group is one writer; its rows stream through one task
-    in order, so take as many groups as there are writers. A payload too large for a container has one of its own."""
+    in order, so take as many groups as there are writers. A payload too large for a container has one of its own. begun:
+    where the first container of a group is filled up to already."""
+    begun = begun or {}
     rows = blocks.select(F.col(group).cast("long").alias("g"), F.col(order).cast("long").alias("o"), F.col(size).cast("long").alias("s"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -36,7 +38,7 @@ def packed(blocks: DataFrame, group: str, order: str, size: str, most: int = DEF
             numbers, offsets = [], []
             for g, s in zip(f["g"], f["s"], strict=True):
                 if g != now:
-                    now, number, at = g, 0, HEADER_SIZE
+                    now, number, at = g, 0, begun.get(g, HEADER_SIZE)
                 if at > HEADER_SIZE and (at + s > most or at >= most):
                     number, at = number + 1, HEADER_SIZE
                 numbers.append(number)
@@ -66,6 +68,11 @@ def stored(chunks: DataFrame, codec: str, key: bytes | None = None) -> DataFrame
     return e.select("chunk_hash", F.lit(codec).alias("codec"), "e.nonce", "e.payload", F.length("e.payload").alias("stored_size"))
 
 
+def stored_overhead(codec: str) -> int:
+    """Bytes that a codec adds to a chunk."""
+    return 0 if codecs.parse(codec) == PLAIN else AES_OVERHEAD
+
+
 def chunk_summary(chunks: DataFrame, by: list[str]) -> DataFrame:
     return chunks.groupBy(*by).agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("size").alias("total"), F.round(F.avg("size"), 6).alias("mean_size"))
 
@@ -85,8 +92,19 @@ def reuse(base: DataFrame, variant: DataFrame) -> DataFrame:
     return both.withColumn("reuse_percent", F.round(F.when(F.col("base_chunks") > 0, F.col("reused") / F.col("base_chunks") * 100).otherwise(0.0), 6))
 
 
-def compared(base: DataFrame, variant: DataFrame, name: str) -> DataFrame:
-    """One report row; the shift metric is set for variants with 'shift' in their name only."""
+def count_delta(base: DataFrame, variant: DataFrame) -> DataFrame:
+    """Chunks of both and their difference; an error unless both are splits of as many bytes."""
+    one = lambda df, p: df.agg(F.count(F.lit(1)).alias(f"{p}_chunks"), F.coalesce(F.sum("size"), F.lit(0)).alias(f"{p}_bytes"))
+    row = one(base, "base").crossJoin(one(variant, "variant"))
+    same = F.col("base_bytes") == F.col("variant_bytes")
+    return row.select("base_chunks", "variant_chunks", F.when(same, F.col("variant_chunks") - F.col("base_chunks")).otherwise(F.raise_error(F.lit("the inputs differ in size"))).alias("delta"))
+
+
+def compared(base: DataFrame, variant: DataFrame, name: str, versions: tuple[str, str] | None = None) -> DataFrame:
+    """One report row; the shift metric is set for variants with 'shift' in their name only. versions: the chunkers of both,
+    which must be the same."""
+    if versions is not None and versions[0] != versions[1]:
+        raise ValueError(f"reuse compares one version's chunks, not {versions[0]} with {versions[1]}")
     n = variant.agg(F.count(F.lit(1)).alias("variant_chunks"))
     r = reuse(base, variant).crossJoin(n)
     return r.select(F.lit(name).alias("variant"), "base_chunks", "variant_chunks", (F.col("variant_chunks") - F.col("base_chunks")).alias("delta"), "reuse_percent", (F.col("reuse_percent") if "shift" in name else F.lit(None).cast("double")).alias("boundary_stability"))
@@ -99,20 +117,45 @@ def winners(rows: DataFrame, a: str, b: str) -> DataFrame:
     return out.withColumn("winner", F.when(F.abs("delta") < 1e-4, "tie").when(F.col("delta") > 0, b).otherwise(a))
 
 
-def write_files(contents: DataFrame, target: Column) -> None:
-    """Write each content to its target on a file system that executors share: a temporary name, then an atomic rename."""
+def benchmark(spark, size: int = datasets.BYTES) -> DataFrame:
+    """metric, first, second, delta and winner: the reuse of both chunkers after an edit and after a shift."""
+    rows = None
+    for metric, (base, variant) in datasets.pairs(size).items():
+        for version, profile in PROFILES.items():
+            own = [file_chunks(spark.createDataFrame([(0, x)], "file_id long, content binary"), profile) for x in (base, variant)]
+            one = reuse(*own).select(F.lit(metric).alias("metric"), F.lit(version).alias("version"), F.col("reuse_percent").alias("value"))
+            rows = one if rows is None else rows.unionByName(one)
+    return winners(rows, V1, V2)
+
 
-    def put(rows) -> None:
+def write_files(contents: DataFrame, overwrite: bool = True) -> DataFrame:
+    """Write the content of each row whose verdict is ok to its output, a path that executors share or an address that Arrow's
+    file systems know: a temporary name beside it first, then a rename. All columns but the content, the verdict of
+    outputs that exist already being `exists`. A task that is tried again writes the same files."""
+    columns = [c for c in contents.columns if c != "content"]
+    schema = contents.select(*columns).schema
+
+    def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
-        import tempfile
-
-        for r in rows:
-            os.makedirs(os.path.dirname(r["target"]), exist_ok=True)
-            fd, name = tempfile.mkstemp(dir=os.path.dirname(r["target"]))
-            with os.fdopen(fd, "wb") as f:
-                f.write(bytes(r["content"] or b""))
-                f.flush()
-                os.fsync(f.fileno())
-            os.replace(name, r["target"])
-
-    contents.select(target.alias("target"), "content").foreachPartition(put)
+
+        import pyarrow.fs as fs
+
+        for f in frames:
+            verdicts = list(f["verdict"])
+            for k, (content, output, verdict) in enumerate(zip(f["content"], f["output"], verdicts, strict=True)):
+                if verdict != "ok":
+                    continue
+                store, path = fs.FileSystem.from_uri(output if "://" in output else f"file://{os.path.abspath(output)}")
+                if not overwrite and store.get_file_info(path).type != fs.FileType.NotFound:
+                    verdicts[k] = "exists"
+                    continue
+                store.create_dir(path.rpartition("/")[0], recursive=True)
+                part = f"{path}.{os.getpid()}.part"
+                with store.open_output_stream(part) as out:
+                    out.write(bytes(content or b""))
+                store.move(part, path)
+            yield f.drop(columns="content").assign(verdict=verdicts)[columns]
+
+    out = contents.mapInPandas(put, schema).cache()
+    out.count()
+    return out

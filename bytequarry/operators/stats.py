@@ -92,3 +92,8 @@ def simulate(repo: Repository) -> DataFrame:
     two = repo.blocks.agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("container_id").alias("containers"), _sum("stored_size").alias("physical_bytes"))
     dedup = F.when(F.col("logical_bytes") > 0, (1 - F.col("physical_bytes") / F.col("logical_bytes")) * 100).otherwise(0.0)
     return one.crossJoin(two).withColumn("dedup_percent", F.round(dedup, 6))
+
+
+def as_json(report: DataFrame) -> DataFrame:
+    """A report's rows as lines of JSON, nulls included."""
+    return report.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line"))

@@ -12,6 +12,7 @@ VERSION_PATTERN = r"^v[0-9]+(?:-[a-z0-9]+)+$"
 HEADER_SIZE, DEFAULT_CONTAINER_MAX = 64, 64 << 20
 AES_OVERHEAD = 16
 
+#: Tables and columns, whose names must match.
 TABLES = {
     "container": "id long, filename string, sealed boolean, sealing boolean, container_hash string, quarantine boolean, current_size long, max_size long",
     "chunk": "id long, chunk_hash string, size long, status string, live_ref_count long, pin_count long, retry_count int, chunker_version string",
@@ -24,6 +25,7 @@ TABLES = {
     "snapshot_file": "snapshot_id string, path_id long, logical_file_id long, size long, mode long, mtime long",
     "repository_config": "key string, value string",
     "container_file": "filename string, size long, sha256 string",
+    "block_payload": "block_id long, payload binary",
 }
 
 

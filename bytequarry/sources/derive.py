@@ -5,10 +5,14 @@ The same rules in SQL are in plans/oracle.py.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions import codecs
 from ..repository import Repository
 
 SLICE = 512
@@ -27,7 +31,7 @@ def logical_files(docs: DataFrame) -> DataFrame:
     g = docs.groupBy("file_hash", F.col("size").alias("total_size")).agg((F.min("doc_id") + 1).alias("id"), F.count(F.lit(1)).alias("n"))
     status = F.when(F.col("id") % 41 == 0, S.ABORTED).when(F.col("id") % 43 == 0, S.PROCESSING).otherwise(S.COMPLETED)
     version = F.when(F.col("id") % 97 == 0, "bad version").when(F.col("id") % 2 == 0, S.V2).otherwise(S.V1)
-    return g.select("id", F.concat((F.col("id") - 1).cast("string"), F.lit(".txt")).alias("original_name"), "total_size", "file_hash", (F.col("n") + F.when(F.col("id") % 53 == 0, 1).otherwise(0)).alias("ref_count"), version.alias("chunker_version"), status.alias("status"), (F.col("id") % 3).cast("int").alias("retry_count"))
+    return g.select("id", F.concat((F.col("id") - 1).cast("string"), F.lit(".txt")).alias("original_name"), "total_size", "file_hash", F.when(F.col("id") % 167 == 0, -1).otherwise(F.col("n") + F.when(F.col("id") % 53 == 0, 1).otherwise(0)).alias("ref_count"), version.alias("chunker_version"), status.alias("status"), (F.col("id") % 3).cast("int").alias("retry_count"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -41,13 +45,57 @@ def physical_files(docs: DataFrame) -> DataFrame:
     return keyed(docs).select("path", orphan.alias("logical_file_id"), F.lit(420).cast("long").alias("mode"), _mtime(F.col("doc_id")).alias("mtime"), F.lit(1000).cast("long").alias("uid"), F.lit(1000).cast("long").alias("gid"), (F.col("doc_id") % 5 != 0).alias("is_metadata_complete"))
 
 
-def slices(docs: DataFrame) -> DataFrame:
-    """logical_file_id, chunk_order, chunk_hash, size: each distinct text in slices of SLICE characters."""
+def slices(docs: DataFrame, data: bool = False) -> DataFrame:
+    """logical_file_id, chunk_order, chunk_hash, size (and the bytes): each distinct text in slices of SLICE characters."""
     one = keyed(docs).where(F.col("doc_id") + 1 == F.col("logical_file_id"))
     n = F.ceil(F.length("text") / SLICE).cast("int")
     rows = one.where(F.length("text") > 0).select("logical_file_id", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
     part = F.substring("text", F.col("k") * SLICE + 1, F.lit(SLICE))
-    return rows.select("logical_file_id", F.col("k").cast("long").alias("chunk_order"), F.sha2(part, 256).alias("chunk_hash"), F.octet_length(part).cast("long").alias("size"))
+    out = rows.select("logical_file_id", F.col("k").cast("long").alias("chunk_order"), F.sha2(part, 256).alias("chunk_hash"), F.octet_length(part).cast("long").alias("size"), F.to_binary(part, F.lit("utf-8")).alias("data"))
+    return out if data else out.drop("data")
+
+
+KEY = bytes(range(32))
+
+
+def with_payloads(repo: Repository, docs: DataFrame) -> Repository:
+    """The repository with the blocks' bytes and nonces, damage included: a payload is missing, cut, changed, or has another
+    block's nonce, by the block's id. Like `repository`, for queries that read contents."""
+    body = slices(docs, True).groupBy("chunk_hash", "size").agg(F.min(F.col("logical_file_id") * 1_000_000 + F.col("chunk_order")).alias("id"), F.min_by("data", F.col("logical_file_id") * 1_000_000 + F.col("chunk_order")).alias("data"))
+    b = repo.blocks.drop("nonce").join(body.select("id", "data"), "id")
+    aes = codecs.encoded(F.col("data"), S.AES, KEY)
+    b = b.withColumn("e", F.when(F.col("codec") == S.AES, aes).otherwise(codecs.encoded(F.col("data"), S.PLAIN)))
+    i, nonce, payload = F.col("id"), F.col("e.nonce"), F.col("e.payload")
+    changed = F.concat(F.when(F.substring(payload, 1, 1) == F.unhex(F.lit("00")), F.unhex(F.lit("01"))).otherwise(F.unhex(F.lit("00"))), F.substring(payload, 2, 1 << 30))
+    damaged = F.when(i % 107 == 0, None).when(i % 109 == 0, F.substring(payload, 1, F.length(payload) - 1)).when(i % 83 == 0, changed).otherwise(payload)
+    other = F.when((i % 113 == 0) & nonce.isNotNull(), F.unhex(F.lit("00" * 12))).otherwise(nonce)
+    rows = b.select(*S.schema("blocks").names[:6], other.alias("nonce"), "container_id", "block_offset", damaged.alias("payload"))
+    return repo.replace(blocks=rows.drop("payload"), block_payload=rows.where("payload IS NOT NULL").select(F.col("id").alias("block_id"), "payload"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder where it is unset in a local session (tests, bench)."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        at = spark.sparkContext._jsc.sc().getCheckpointDir()
+        where = at.get() if at.isDefined() else None
+    if not where:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        import tempfile
+
+        where = "file://" + tempfile.mkdtemp(prefix="bytequarry-")
+        spark.sparkContext.setCheckpointDir(where)
+    return where.rstrip("/")
+
+
+def saved(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], Repository]) -> Repository:
+    """A repository that is made and saved once in an application, and read by whoever asks after that."""
+    mark = hashlib.sha256(f"{sf_dir}|{name}".encode()).hexdigest()[:16]
+    where = f"{shared_folder(spark)}/derived/{spark.sparkContext.applicationId}/{mark}"
+    if not Repository.empty(spark).versions(where):
+        make().save(where)
+    return Repository.load(spark, where)
 
 
 def repository(spark: SparkSession, sf_dir: str) -> Repository:
@@ -68,7 +116,7 @@ def repository(spark: SparkSession, sf_dir: str) -> Repository:
     container = held.select("id", F.concat(F.lit("container_"), i.cast("string"), F.lit(".bin")).alias("filename"), sealed.alias("sealed"), (~sealed & (i % 8 == 0)).alias("sealing"), F.when(sealed & (i % 17 != 0), F.sha2(F.concat(F.lit("c"), i.cast("string")), 256)).alias("container_hash"), (i % 11 == 0).alias("quarantine"), (F.lit(S.HEADER_SIZE) + F.col("bytes") + F.when(i % 13 == 0, 5).otherwise(0)).cast("long").alias("current_size"), F.lit(S.DEFAULT_CONTAINER_MAX).cast("long").alias("max_size"))
     files = container.where(i % 19 != 0).select("filename", (F.col("current_size") + F.when(i % 7 == 0, 3).otherwise(0) - F.when(i % 29 == 0, 9).otherwise(0)).alias("size"), F.sha2(F.concat(F.lit("c"), F.when(i % 5 == 0, i + 1).otherwise(i).cast("string")), 256).alias("sha256"))
     orphan = spark.createDataFrame([("container_x.bin", 128, None)], S.schema("container_file"))
-    snapshot = spark.createDataFrame([("day1", 1_700_000_000, "full", "first day", None), ("day2", 1_700_086_400, "full", None, "day1"), ("part1", 1_700_090_000, "partial", "Source one", "day2"), ("lost", 1_700_095_000, "partial", "first lost", "gone")], S.schema("snapshot"))
+    snapshot = spark.createDataFrame([("day1", 1_700_000_000, "full", "first day", None), ("day2", 1_700_086_400, "full", None, "day1"), ("part1", 1_700_090_000, "partial", "Source one", "day2"), ("lost", 1_700_095_000, "partial", "first lost", "gone"), ("odd", 1_700_099_000, "full", None, "part1"), ("gap", 1_700_099_500, "full", None, "never")], S.schema("snapshot"))
     k = keyed(docs).withColumn("key", F.regexp_replace("path", "^/+", ""))
     paths = k.select((F.col("doc_id") + 1).alias("id"), F.col("key").alias("path"))
     row = lambda name, file, df: df.select(F.lit(name).alias("snapshot_id"), (F.col("doc_id") + 1).alias("path_id"), file.alias("logical_file_id"), F.when(F.col("doc_id") % 17 != 0, F.col("size")).alias("size"), F.lit(420).cast("long").alias("mode"), _mtime(F.col("doc_id")).alias("mtime"))
@@ -76,5 +124,11 @@ def repository(spark: SparkSession, sf_dir: str) -> Repository:
     other = F.when((F.col("doc_id") % 11 == 0) & (F.col("doc_id") > 0), F.coalesce("before_id", own)).otherwise(own)
     before = k.select((F.col("doc_id") + 1).alias("doc_id"), F.col("logical_file_id").alias("before_id"))
     dangling = F.when(F.col("doc_id") % 251 == 250, F.lit(9_999_999_999)).otherwise(own)
-    snapshot_file = row("day1", dangling, k.where("doc_id % 10 <> 0")).unionByName(row("day2", other, k.join(before, "doc_id", "left").where("doc_id % 7 <> 0"))).unionByName(row("part1", own, k.where("source = 'src1'")))
+    snapshot_file = row("day1", dangling, k.where("doc_id % 10 <> 0")).unionByName(row("day2", other, k.join(before, "doc_id", "left").where("doc_id % 7 <> 0"))).unionByName(row("part1", own, k.where("source = 'src1'"))).unionByName(row("odd", own, k.where("source IN ('src1', 'src2')")))
+    # defects: rows twice, paths that aren't in the dictionary, and two files at one path once it is normalized
+    lost = row("lost", own, k.where("doc_id % 20 = 7")).unionByName(row("lost", own, k.where("doc_id % 60 = 7")))
+    stray = row("lost", own, k.where("doc_id % 40 = 9")).withColumn("path_id", F.col("path_id") + 1_000_000_000)
+    twin = row("lost", own + 1, k.where("doc_id % 40 = 7")).withColumn("path_id", F.col("path_id") + 2_000_000_000)
+    snapshot_file = snapshot_file.unionByName(lost).unionByName(stray).unionByName(twin)
+    paths = paths.unionByName(k.where("doc_id % 40 = 7").select((F.col("doc_id") + 2_000_000_001).alias("id"), F.concat(F.lit("./"), "key").alias("path")))
     return Repository(spark, {"physical_file": physical_files(docs), "logical_file": logical_files(docs), "chunk": chunk, "file_chunk": file_chunk, "blocks": blocks, "container": container, "container_file": files.unionByName(orphan), "snapshot": snapshot, "snapshot_path": paths, "snapshot_file": snapshot_file, "repository_config": spark.createDataFrame([("default_chunker", S.V2)], S.schema("repository_config"))})

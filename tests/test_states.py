@@ -41,7 +41,9 @@ def test_limits(repo):
 
 
 def test_snapshot_create_and_delete(repo):
-    new = snapshots.create(repo, "s3", 3, ("d/c.txt",), parent="s1")
+    with pytest.raises(ValueError):  # a partial snapshot has no parent
+        snapshots.create(repo, "s3", 3, ("d/c.txt",), parent="s1")
+    new = snapshots.create(snapshots.create(repo, "s3", 3, ("./d//c.txt", "d/c.txt")), "s5", 5, parent="s1")
     assert [(r.path, r.logical_file_id) for r in snapshots.show(new, "s3").collect()] == [("d/c.txt", 3)]
     with pytest.raises(ValueError):
         snapshots.create(repo, "s4", 4, ("d/none.txt",))
@@ -49,7 +51,8 @@ def test_snapshot_create_and_delete(repo):
     with pytest.raises(ValueError):
         snapshots.create(repo, "s1", 4)
     less = snapshots.delete(new, "s1")
-    assert {r.id: r.parent_id for r in less.snapshot.collect()} == {"s2": None, "s3": None}
+    assert {r.id: r.parent_id for r in less.snapshot.collect()} == {"s2": None, "s3": None, "s5": None}
+    assert sorted(r.id for r in new.snapshot_path.collect()) == [1, 2, 3, 4]  # new paths are numbered after the largest id
 
 
 def test_removal(repo):
