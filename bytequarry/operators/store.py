@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cdc import Profile
 from ..functions.numbering import largest, numbered
-from ..repository import Repository
+from ..repository import Repository, settled
 from ..schema import AES, COMPLETED, DEFAULT_CONTAINER_MAX, schema
 from ..sources.files import header
 from . import ingest, maintenance, reuse
@@ -37,7 +37,8 @@ def store(repo: Repository, files: DataFrame, profile: Profile, codec: str = AES
 
     A content that is there and passes the reuse gate isn't split again; one that doesn't pass, or was aborted, is rebuilt under
     its id, once. The same holds for chunks. New payloads are packed by `writers` writers; the first of them goes on with the open
-    container. A path of another file is a conflict unless it may be replaced; several contents for one path are an error."""
+    container. A path of another file is a conflict unless it may be replaced; several contents for one path are an error.
+    The steps (claims, pieces, chunks, places, blocks) are tables in the shared folder that the result reads until it is saved."""
     for c, kind in (("mode", "long"), ("mtime", "long"), ("uid", "long"), ("gid", "long")):
         if c not in files.columns:
             files = files.withColumn(c, F.lit(None).cast(kind))
@@ -47,14 +48,14 @@ def store(repo: Repository, files: DataFrame, profile: Profile, codec: str = AES
     if not names.where("n > 1").isEmpty():
         raise ValueError("several contents for one path")
     files = files.dropDuplicates(["path"])
-    claims = claimed(repo, files, mode, key)
+    claims = settled(claimed(repo, files, mode, key), "claims")
 
     # split what isn't reused: one body of each content
     body = files.select("path", "content", F.col("file_hash").alias("h"), F.col("size").alias("s"))
     todo = claims.where("state <> 'reused'").select(F.col("id").alias("logical_file_id"), "first_path", "file_hash", "size")
     bodies = body.join(todo, (F.col("path") == F.col("first_path")) & (F.col("h") == F.col("file_hash")) & (F.col("s") == F.col("size"))).select("logical_file_id", "content")
     split = bodies.withColumn("c", F.explode(ingest.chunked(F.col("content"), profile)))
-    pieces = split.select("logical_file_id", "c.chunk_order", "c.chunk_hash", "c.size", F.substring("content", (F.col("c.offset") + 1).cast("int"), F.col("c.size").cast("int")).alias("data"))
+    pieces = settled(split.select("logical_file_id", "c.chunk_order", "c.chunk_hash", "c.size", F.substring("content", (F.col("c.offset") + 1).cast("int"), F.col("c.size").cast("int")).alias("data")), "pieces")
 
     # claim chunks
     own = pieces.groupBy("chunk_hash", "size").agg(F.min_by("data", "logical_file_id").alias("data"))
@@ -63,14 +64,14 @@ def store(repo: Repository, files: DataFrame, profile: Profile, codec: str = AES
     rows = own.join(there, ["chunk_hash", "size"], "left").join(fine, "id", "left")
     new = numbered(rows.where("id IS NULL").drop("id"), ["chunk_hash", "size"], largest(repo.chunk))
     chunks = rows.where("id IS NOT NULL").withColumn("rebuilt", F.coalesce(~F.col("fine"), F.lit(True))).unionByName(new.withColumn("rebuilt", F.lit(True)), allowMissingColumns=True)
-    chunks = chunks.withColumn("is_new", F.col("id") > largest(repo.chunk))
+    chunks = settled(chunks.withColumn("is_new", F.col("id") > largest(repo.chunk)), "chunks")
     made = chunks.where("rebuilt")
 
     # encode and pack
     coded = made.withColumn("e", ingest.codecs.encoded(F.col("data"), codec, key)).select("id", "size", "e.nonce", "e.payload", F.length("e.payload").cast("long").alias("stored_size"), F.pmod(F.xxhash64("id"), F.lit(writers)).alias("writer"))
     begun = open_container(repo, most)
     overhead = ingest.stored_overhead(codec)  # the layout depends on sizes alone, not on the random nonces
-    places = ingest.packed(made.select("id", F.pmod(F.xxhash64("id"), F.lit(writers)).alias("writer"), (F.col("size") + overhead).alias("stored")), "writer", "id", "stored", most, {0: begun[1]} if begun else None)
+    places = settled(ingest.packed(made.select("id", F.pmod(F.xxhash64("id"), F.lit(writers)).alias("writer"), (F.col("size") + overhead).alias("stored")), "writer", "id", "stored", most, {0: begun[1]} if begun else None), "places")
     used = {r["writer"]: r["n"] for r in places.groupBy("writer").agg(F.max("container_no").alias("n")).collect()}  # a row for each writer
     first, numbers = largest(repo.container) + 1, []
     for w, n in sorted(used.items()):
@@ -83,6 +84,7 @@ def store(repo: Repository, files: DataFrame, profile: Profile, codec: str = AES
     table = repo.spark.createDataFrame(numbers, "writer long, container_no long, container_id long, fresh boolean")
     placed = places.join(F.broadcast(table), ["writer", "container_no"]).select("id", "container_id", "block_offset", F.col("stored").alias("end_size"), "writer", "container_no")
     blocks = coded.drop("writer").join(placed, "id").select((F.col("id") + largest(repo.blocks)).alias("id"), F.col("id").alias("chunk_id"), F.lit(codec).alias("codec"), F.lit(1).alias("format_version"), F.col("size").alias("plaintext_size"), "stored_size", "nonce", "container_id", "block_offset", "payload")
+    blocks = settled(blocks, "blocks")
     return _linked(repo, files, claims, pieces, chunks, blocks, placed, table, used, profile, replace, most, created)
 
 

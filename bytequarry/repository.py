@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -10,6 +13,27 @@ from pyspark.sql import DataFrame, SparkSession
 from . import schema
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder where it is unset in a local session (tests, bench), an error on a cluster."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        at = spark.sparkContext._jsc.sc().getCheckpointDir()
+        where = at.get() if at.isDefined() else None
+    if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="bytequarry-")
+        spark.sparkContext.setCheckpointDir(where)
+    return where.rstrip("/")
+
+
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read back. The table stays, as results read it until they are saved themselves."""
+    path = f"{shared_folder(df.sparkSession)}/steps/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @dataclass(frozen=True)
 class Repository:
     spark: SparkSession
@@ -58,4 +82,4 @@ class Repository:
         version = version or max(empty.versions(path))
         fs, _ = empty._fs(path)
         new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        return cls(spark, {n: spark.read.parquet(f"{path}/v{version}/{n}") for n in schema.TABLES if fs.exists(new(f"{path}/v{version}/{n}"))})
+        return cls(spark, {n: spark.read.schema(schema.schema(n)).parquet(f"{path}/v{version}/{n}") for n in schema.TABLES if fs.exists(new(f"{path}/v{version}/{n}"))})

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import codecs
-from ..repository import Repository
+from ..repository import Repository, shared_folder
 
 SLICE = 512
+#: Repositories that this process has opened, by their folder; a few handles, no data.
+_loaded: dict[str, Repository] = {}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,29 +75,17 @@ def with_payloads(repo: Repository, docs: DataFrame) -> Repository:
     return repo.replace(blocks=rows.drop("payload"), block_payload=rows.where("payload IS NOT NULL").select(F.col("id").alias("block_id"), "payload"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder where it is unset in a local session (tests, bench)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        at = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = at.get() if at.isDefined() else None
-    if not where:
-        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        import tempfile
-
-        where = "file://" + tempfile.mkdtemp(prefix="bytequarry-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
 def saved(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], Repository]) -> Repository:
     """A repository that is made and saved once in an application, and read by whoever asks after that."""
     mark = hashlib.sha256(f"{sf_dir}|{name}".encode()).hexdigest()[:16]
     where = f"{shared_folder(spark)}/derived/{spark.sparkContext.applicationId}/{mark}"
-    if not Repository.empty(spark).versions(where):
-        make().save(where)
-    return Repository.load(spark, where)
+    if where not in _loaded:
+        if not Repository.empty(spark).versions(where):
+            make().save(where)
+        if len(_loaded) > 8:
+            _loaded.clear()
+        _loaded[where] = Repository.load(spark, where)
+    return _loaded[where]
 
 
 def repository(spark: SparkSession, sf_dir: str) -> Repository:
