@@ -70,7 +70,10 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors. The table stays there, as
     the result is read lazily; tables that only a step in between needs belong in a Scratch."""
-    return _written(df, scratch_path(df.sparkSession, label))
+    path = scratch_path(df.sparkSession, label)
+    for kept in _gathering:
+        kept.paths.append(path)
+    return _written(df, path)
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:
@@ -102,6 +105,21 @@ class Scratch:
         self.drop()
 
 
+#: Blocks whose materialized tables are noted, to be deleted at their end.
+_gathering: list[Scratch] = []
+
+
+@contextlib.contextmanager
+def gathered(spark: SparkSession) -> Iterator[Scratch]:
+    """Tables that are materialized within the block are deleted at its end: for a caller that has written the result by then."""
+    with Scratch(spark) as scratch:
+        _gathering.append(scratch)
+        try:
+            yield scratch
+        finally:
+            _gathering.remove(scratch)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
