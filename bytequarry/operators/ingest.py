@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs, datasets
 from ..functions.cdc import PROFILES, Profile, chunked
+from ..repository import settled
 from ..schema import AES_OVERHEAD, DEFAULT_CONTAINER_MAX, HEADER_SIZE, PLAIN, V1, V2
 
 
@@ -156,6 +157,4 @@ def write_files(contents: DataFrame, overwrite: bool = True) -> DataFrame:
                 store.move(part, path)
             yield f.drop(columns="content").assign(verdict=verdicts)[columns]
 
-    out = contents.mapInPandas(put, schema).cache()
-    out.count()
-    return out
+    return settled(contents.mapInPandas(put, schema), "written")
