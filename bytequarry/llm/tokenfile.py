@@ -37,10 +37,12 @@ MAGIC = b"S8B1"
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3)
 BITS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20)
 TOO_LARGE = (1 << 20) - 1
+#: Of each id below TOO_LARGE, the bits for which it isn't all ones; 0 for TOO_LARGE, as an escape fits in any width.
+WIDTHS = np.append(np.repeat(np.arange(1, 21, dtype=np.uint8), [1, *(1 << k for k in range(1, 20))]), np.uint8(0))
 NO_ID = -(2**63)
 BLOCK_IDS = 262_144
 BLOCK_CHARS = 4_000_000
-#: Chunks remembered by a worker, in two generations; those not used since the younger one began go first.
+#: Chunks remembered by a worker, if its last block has no more; those unused for longest go first.
 MOST_WORDS = 400_000
 #: Chunks are encoded in strings of so many.
 JOINED = 500
@@ -57,9 +59,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.uint64), np.empty(0, np.uint32)
     large = ids >= TOO_LARGE
     value = ids.astype(np.uint64)
-    # bits for which the id isn't all ones; an escape fits in any width
-    need = np.ceil(np.log2(value.astype(float) + 2)).astype(np.uint8)
-    need[large] = 0
+    need = WIDTHS[np.minimum(ids, TOO_LARGE)]
     padded = np.concatenate((need, np.zeros(max(COUNTS), np.uint8)))
     choice = np.full(n, len(COUNTS) - 1, np.int8)
     top, width = padded, 1
@@ -138,6 +138,9 @@ class ByteBPE:
     'word', 'word,' and 'word."' share the word's ids. The library gets many chunks in one string, as a call or a result for
     each costs more than the chunk: only a chunk's first token begins with the space (or is the line feed) before it, which
     tells where its ids begin. Texts with other white space go to the library whole.
+
+    Chunks and their ids are remembered as Arrow arrays, those of the last block first: a block's chunks are looked up all at
+    once, and only the new ones become Python strings.
     """
 
     def __init__(self, path: str):
@@ -158,75 +161,69 @@ class ByteBPE:
         for c, mark in ((" ", space), ("\n", feed)):
             if len(mark) == 4 and (own := names[int.from_bytes(mark, "little")]):
                 self.begins[c][[i for i, t in names.items() if t.startswith(own)]] = True
-        self.known: dict[str, bytes | None] = {}
-        self.older: dict[str, bytes | None] = {}
+        #: Chunks and their ids; null where a text with such a chunk has to be encoded whole.
+        self.known, self.coded = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
         self.marks: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         fast = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [array("I", e.ids).tobytes() for e in fast(texts, add_special_tokens=False)]
 
-    def _joined(self, words: list[str], before: str) -> list[bytes]:
+    def _joined(self, words: list[str], before: str) -> pa.Array:
         """The ids of each word with `before` in front of it, the words being free of white space."""
-        out: list[bytes] = []
+        out = [pa.array([], pa.large_binary())]
         groups = [words[k : k + JOINED] for k in range(0, len(words), JOINED)]
         for own, ids in zip(groups, self._library([before + before.join(g) for g in groups]), strict=True):
-            at = (np.flatnonzero(self.begins[before][np.frombuffer(ids, "<u4")]) * 4).tolist()
+            at = np.flatnonzero(self.begins[before][np.frombuffer(ids, "<u4")]) * 4
             if len(at) == len(own) and not at[0]:
-                out += [ids[s:e] for s, e in zip(at, [*at[1:], len(ids)], strict=True)]
+                out.append(pa.Array.from_buffers(pa.large_binary(), len(own), [None, pa.py_buffer(np.append(at, len(ids))), pa.py_buffer(ids)]))
             else:  # a vocabulary whose tokens don't tell
-                out += self._library([before + w for w in own])
-        return out
-
-    def learn(self, chunks: list[str]) -> None:
-        """Remember the ids of the chunks: those of a space and the chunk, or of a chunk that begins with a line feed."""
-        known, older = self.known, self.older
-        words: dict[str, set[str]] = {" ": set(), "\n": set()}
-        parts: list[tuple[str, str, str]] = []
-        for c in chunks:
-            if c.isalpha():
-                words[" "].add(c)
-            elif not PLAIN(c):
-                known[c] = None
-            else:
-                feed = c[0] == "\n"
-                word = c.rstrip(MARKS)
-                if not (word[1:] if feed else word).isalpha():
-                    word = c
-                if word not in known:
-                    if (old := older.get(word)) is not None:
-                        known[word] = old
-                    elif feed:
-                        words["\n"].add(word[1:])
-                    else:
-                        words[" "].add(word)
-                if word is not c:
-                    parts.append((c, word, c[len(word) :]))
-        for before, own in words.items():
-            own = list(own)
-            known.update(zip(own if before == " " else [before + w for w in own], self._joined(own, before), strict=True))
+                out.append(pa.array(self._library([before + w for w in own]), pa.large_binary()))
+        return pa.concat_arrays(out)
+
+    def learn(self, chunks: list[str]) -> pa.Array:
+        """The ids of a space and the chunk, or of a chunk that begins with a line feed; null for other white space."""
+        words: dict[str, list[str]] = {" ": [], "\n": []}
+        places: dict[str, list[int]] = {" ": [], "\n": []}
+        for k, c in enumerate(chunks):
+            if c.isalpha() or PLAIN(c):
+                before = "\n" if c[0] == "\n" else " "
+                words[before].append(c[1:] if before == "\n" else c)
+                places[before].append(k)
+        at = np.full(len(chunks), -1, np.int64)
+        at[places[" "] + places["\n"]] = np.arange(len(places[" "]) + len(places["\n"]))
+        return pa.concat_arrays([self._joined(own, before) for before, own in words.items()]).take(pa.array(at, mask=at < 0))
+
+    def _ids(self, chunks: pa.Array) -> pa.Array:
+        """The ids of distinct chunks; null where a text with such a chunk has to be encoded whole."""
+        place = pc.index_in(chunks, value_set=self.known)
+        new = place.is_null()
+        at = place.fill_null(-1).to_numpy().astype(np.int64)
+        fresh = np.flatnonzero(at < 0)
+        at[fresh] = len(self.known) + np.arange(len(fresh))
+        ids = pa.concat_arrays([self.coded, self.learn(chunks.filter(new).to_pylist())]).take(pa.array(at))
+        unused = np.ones(len(self.known) + len(fresh), bool)
+        unused[at] = False
+        rest = np.flatnonzero(unused)[: max(0, MOST_WORDS - len(chunks))]
+        self.known, self.coded = pa.concat_arrays([chunks, self.known.take(rest)]), pa.concat_arrays([ids, self.coded.take(rest)])
+        return ids
+
+    def _parted(self, chunks: pa.Array) -> pa.Array:
+        """The ids of distinct chunks, those of letters and marks from both parts; null as _ids has it."""
+        words = pc.utf8_rtrim(chunks, characters=MARKS)
+        lettered = pc.utf8_is_alpha(pc.utf8_ltrim(words, characters="\n")).to_numpy(zero_copy_only=False)
+        _, ends, body = chunks.buffers()
+        ends = np.frombuffer(ends, np.int64)[: len(chunks) + 1]
+        cut = np.where(lettered, ends[:-1] + pc.binary_length(words).to_numpy(), ends[1:])
+        both = pa.Array.from_buffers(pa.large_string(), 2 * len(chunks), [None, pa.py_buffer(np.append(np.stack((ends[:-1], cut), axis=1).ravel(), ends[-1])), body])
+        words, marks = (both.take(pa.array(np.arange(k, len(both), 2))).dictionary_encode() for k in (0, 1))
         if len(self.marks) > MOST_WORDS // 10:
             self.marks.clear()
-        marks = self.marks
-        ends = list({m for _, _, m in parts if m not in marks})
-        marks.update(zip(ends, self._library(ends), strict=True))
-        known.update((c, known[w] + marks[m]) for c, w, m in parts)
-
-    def _ids(self, chunks: list[str]) -> list[bytes | None]:
-        """The ids of distinct chunks; None where a text with such a chunk has to be encoded whole."""
-        if len(self.known) > MOST_WORDS // 2:
-            self.older, self.known = self.known, {}
-        known, older = self.known, self.older
-        new = []
-        for c in chunks:
-            if c not in known:
-                if c in older:
-                    known[c] = older[c]
-                else:
-                    new.append(c)
-        if new:
-            self.learn(new)
-        return [known[c] for c in chunks]
+        ends = marks.dictionary.to_pylist()
+        new = [m for m in ends if m not in self.marks]
+        self.marks.update(zip(new, self._library(new), strict=True))
+        marks = pa.array([self.marks[m] for m in ends], pa.large_binary()).take(marks.indices)
+        return pc.binary_join_element_wise(self._ids(words.dictionary).take(words.indices), marks, pa.scalar(b"", pa.large_binary()))
 
     def encode_block(self, texts: list[str]) -> list[bytes]:
         """Little-endian u32 ids of each text. Each distinct chunk of the block is looked up once."""
@@ -237,11 +234,10 @@ class ByteBPE:
         rows = pc.split_pattern(led, " ")  # the first of each row is empty, as the text begins with " \n" now
         offsets = rows.offsets.to_numpy()
         coded = rows.values.dictionary_encode()
-        ids = self._ids(coded.dictionary.to_pylist())
-        unknown = np.array([x is None for x in ids])[coded.indices.to_numpy()]
+        made = self._parted(coded.dictionary).take(coded.indices)
+        unknown = made.is_null().to_numpy(zero_copy_only=False).copy()
         unknown[offsets[:-1]] = False
         whole |= np.logical_or.reduceat(unknown, offsets[:-1])
-        made = pa.array([x or b"" for x in ids], pa.large_binary()).take(coded.indices)
         _, ends, body = made.buffers()
         ends = np.frombuffer(ends, np.int64)[offsets].tolist()
         body, skip = memoryview(body or b""), len(self.feed)

@@ -243,6 +243,24 @@ def test_boilerplate_lines(spark, odd, none):
     assert spark.range(1).select(lines.url_host(F.lit("HTTPS://u@WWW.Example.com:80/x"))).head()[0] == "example.com"
 
 
+def test_byte_bpe_blocks(monkeypatch):
+    e = tokenfile.ByteBPE(tokenfile.default_path())
+    monkeypatch.setattr(tokenfile, "MOST_WORDS", 14)
+    monkeypatch.setattr(tokenfile, "JOINED", 3)
+    given, library = [], e._library
+    monkeypatch.setattr(e, "_library", lambda texts: given.extend(texts) or library(texts))
+    words = [f"{a}{b}{c}" for a in "bdgk" for b in "aeiou" for c in "lnrst"]
+    for part in (words[:7], words[7:14], words[14:15]):
+        e.encode_block([" ".join(["x", *part])])
+    given.clear()  # the last block's three chunks, the seven words before and four of the oldest are remembered
+    texts = [f"x {words[3]}, {words[8]}) {words[14]}.", ""]
+    assert e.encode_block(texts) == library(texts) and not any(w in x for w in words for x in given)
+    odd = ["caf\u00e9, \u00e9l\u00e8ve.", "\u4e2d\u6587, \u0434\u0430!", "don't, x' 12, a1. --,", "a\n\nb,\n c.", "a\u00a0b, c", "two  spaces, \t tab", "\n", " ", ",", "a<|endoftext|>b.", "\nword,\nword", "\u0939\u093f, \u00b2x, \u2167, \U0001d54f."]
+    for _ in range(2):
+        assert e.encode_block(odd) == library(odd)
+    assert e.encode_block(odd[::-1] + texts) == library(odd[::-1] + texts)
+
+
 def test_every_boilerplate_line_goes(spark, tmp_path):
     import corpus_pipeline as p
 
