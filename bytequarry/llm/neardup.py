@@ -173,7 +173,7 @@ def compared(pairs: DataFrame, df: DataFrame, size: int, doc_id: str, text: str)
             kinds = [*[pa.int64()] * 4, pa.list_(pa.int64()), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["a", "b", "both", "either", "gone", "more"])
 
-    return rows.select("doc_id", "a", "salt", "role", "text").mapInArrow(run, "a long, b long, both long, either long, gone array<long>, more array<int>")
+    return common.mapped(rows.select("doc_id", "a", "salt", "role", "text"), run, "a long, b long, both long, either long, gone array<long>, more array<int>")
 
 
 def shareable(members: DataFrame, first: DataFrame) -> DataFrame:

@@ -200,7 +200,7 @@ def train(spark: SparkSession, sf_dir: str, most: int = MOST_LABELLED) -> Toxici
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "label")), column, value], names=["doc_id", "label", "columns", "values"])
 
     with common.Scratch(spark) as scratch:
-        rows = scratch.table(sample.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, columns array<int>, values array<float>"), "entries")
+        rows = scratch.table(common.mapped(sample.select("doc_id", "label", "text"), run, "doc_id long, label int, columns array<int>, values array<float>"), "entries")
         sizes = [tuple(r) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", "label", F.size("columns")).collect()]  # at most `most` rows
         ids = spark.createDataFrame([(i,) for i in sorted(affordable(sizes))], "doc_id long")
         t = rows.join(F.broadcast(ids), "doc_id").toArrow()  # at most MOST_ENTRIES entries
@@ -230,7 +230,7 @@ def keep_clean(df: DataFrame, model: ToxicityModel, threshold: float = 0.5, text
             for batch, texts in common.blocks(batches, text, BLOCK_CHARS):
                 yield batch.filter(pa.array([s < threshold for s in shared.value.scores(texts)], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return common.mapped(df, run, df.schema)
 
 
 def op5_toxicity(spark, sf_dir):

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("bytequarry.llm")
-from bytequarry.llm import bpe, decontaminate, fingerprint, lines, neardup, pii, quality, secrets, tokenfile, toxicity  # noqa: E402
+from bytequarry.llm import bpe, common, decontaminate, fingerprint, lines, neardup, pii, quality, secrets, tokenfile, toxicity  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, part int, ord long, a long, key long, host string"
 LONG = "word " * 30_000 + 'token = "0123456789abcdef0123" x@example.com'
@@ -261,6 +261,21 @@ def test_byte_bpe_blocks(monkeypatch):
     assert e.encode_block(odd[::-1] + texts) == library(odd[::-1] + texts)
 
 
+def test_batches_are_bounded(spark):
+    import inspect
+
+    df = spark.range(0, 400, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 10_000).alias("text"))
+
+    def work(texts):
+        batch = inspect.currentframe().f_back.f_locals["batch"]  # a slice, whose buffers are those of the batch that came
+        return {"size": [sum(b.size for b in batch.column(1).buffers() if b)] * len(texts)}
+
+    got = common.map_blocks(df, "size long", work).collect()
+    assert sorted(r.doc_id for r in got) == [*range(400)] and max(r.size for r in got) < 4_000_000
+    long = spark.range(3).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), F.col("id").cast("int") * 1_000_000).alias("text"))
+    assert sorted(tuple(r) for r in common.map_blocks(long.coalesce(1), "n long", lambda texts: {"n": list(map(len, texts))}).collect()) == [(0, 0), (1, 5_000_000), (2, 10_000_000)]
+
+
 def test_every_boilerplate_line_goes(spark, tmp_path):
     import corpus_pipeline as p
 
